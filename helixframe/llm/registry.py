@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import fingerprint, mixing, packing, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_toxic_segments": toxicity.op3_toxic_segments,
+    "op6_threshold_fingerprints": fingerprint.op6_threshold_fingerprints,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLE_SQL = {
