@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Training: token and prefix counts of a bounded sample of labelled documents give log-odds with Dirichlet priors;
-rare words take the prior mean from their prefixes. Scoring: one linear scan over a text's token scores finds
+rare words take their prefix's score; other documents of the sample fit the extreme-value law and the calibration. Scoring: one linear scan over a text's token scores finds
 every maximal segment; segments are significant by their extreme-value expectation; a document's score is a
 logistic function of what its segments add up to.
 
@@ -32,7 +32,9 @@ SAMPLE_PER_LABEL = 6000
 MAX_TOKENS = 300_000
 MIN_DOCS = 3
 PRIOR = 2.0  # Dirichlet pseudo-counts of each token
+SURE = 3.0  # standard errors taken off positive log-odds
 DROP = 0.35  # cost of a token without evidence
+REPEATS = 2  # further occurrences of a word in a text are no evidence
 TOXIC = 0.7
 PREFIXES = (5, 4)
 _WORD = re.compile(r"[^\W_]+")
@@ -78,10 +80,10 @@ class _Cache(dict):
 
 
 def log_odds(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Score of each word and prefix from its counts in toxic and clean tokens.
+    """Score of each word and prefix from how many toxic and clean documents hold it.
 
-    Each has a Dirichlet prior of PRIOR pseudo-counts, divided as all tokens divide between the labels. Positive
-    log-odds count less two standard errors, so that chance findings among rare words stay under zero. A word
+    Each has a Dirichlet prior of PRIOR pseudo-counts, divided as the documents divide between the labels. Positive
+    log-odds count less SURE standard errors, so that chance findings among rare words stay under zero. A word
     without clear evidence of its own is left out: its prefix, which has more, speaks for it.
     """
     share = n_toxic / max(1, n_toxic + n_clean)
@@ -89,7 +91,7 @@ def log_odds(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) ->
     for token, (t, c) in counts.items():
         at, ac = t + PRIOR * share, c + PRIOR * (1 - share)
         odds = math.log(at / (n_toxic + PRIOR)) - math.log(ac / (n_clean + PRIOR))
-        sure = odds - 2 * math.sqrt(1 / at + 1 / ac)
+        sure = odds - SURE * math.sqrt(1 / at + 1 / ac)
         if sure > 1.0:
             scores[token] = min(8.0, sure)
         elif token[0] == "^" or c >= 2:
@@ -137,6 +139,11 @@ def _statistic(model: Model, found: list[tuple[int, int, float]], n: int) -> flo
 def score_text(model: Model, cache: dict, text: str | None) -> tuple[float, list[tuple[int, int, float]], list[str]]:
     words = tokens(text)
     values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+    seen: Counter = Counter()
+    for i in np.flatnonzero(values > 0).tolist():
+        seen[words[i]] += 1
+        if seen[words[i]] > REPEATS:
+            values[i] = -DROP
     found = segments(values)
     x = _statistic(model, found, len(words))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.a + model.b * x)))), found, words
@@ -186,27 +193,21 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     ship(docs.sparkSession)
     chosen = training_ids(labels.select(F.col("doc_id").alias("_tox_id"), "toxic").withColumnRenamed("_tox_id", "doc_id"), per_label)
     # at most about 2 x per_label rows of two numbers: small enough to broadcast at any input size
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "tox-sample")
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) < 3).alias("calibrates")), "tox-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, docs_with, seen = (Counter(), Counter()), Counter(), [0, 0]
+        hits, seen = (Counter(), Counter()), [0, 0]
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Counter(tokens(text))
-                seen[label] += sum(words.values())
-                here = Counter()
-                for word, n in words.items():
-                    for level in _levels(word):
-                        here[level] += n
-                hits[label].update(here)
-                docs_with.update(here.keys())
-        names = list(docs_with)
+                seen[label] += 1
+                hits[label].update({level for word in set(tokens(text)) for level in _levels(word)})
+        names = list(hits[0].keys() | hits[1].keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*names, ""]), pa.array([*(hits[1][t] for t in names), seen[1]], pa.int64()), pa.array([*(hits[0][t] for t in names), seen[0]], pa.int64()), pa.array([*(docs_with[t] for t in names), 0], pa.int64())],
-            ["token", "toxic", "clean", "docs"],
+            [pa.array([*names, ""]), pa.array([*(hits[1][t] for t in names), seen[1]], pa.int64()), pa.array([*(hits[0][t] for t in names), seen[0]], pa.int64())],
+            ["token", "toxic", "clean"],
         )
 
-    sums = sample.mapInArrow(count, "token string, toxic long, clean long, docs long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("docs").alias("docs"))
+    sums = sample.where(~F.col("calibrates")).mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("docs", F.col("toxic") + F.col("clean"))
     kept = sums.where((F.col("docs") >= MIN_DOCS) | (F.col("token") == "")).orderBy((F.col("token") == "").desc(), F.col("docs").desc(), "token").limit(MAX_TOKENS).select("token", "toxic", "clean").toPandas()
     counts = {t: (int(a), int(b)) for t, a, b in kept.itertuples(index=False)}
     n_toxic, n_clean = counts.pop("", (0, 0))
@@ -214,8 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
         return Model({}, a=-30.0)
     model = Model(log_odds(counts, n_toxic, n_clean))
     levels = {t: c for t, (_, c) in counts.items() if t[0] != "^" and t in model.scores}
+    # Words without a score cost DROP; their mass stands for the rest of the clean documents' words.
     known = np.array([model.scores[t] for t in levels]), np.array(list(levels.values()), float)
-    model.decay = _decay(np.append(known[0], -DROP), np.append(known[1], max(1.0, n_clean - known[1].sum())))
+    model.decay = _decay(np.append(known[0], -DROP), np.append(known[1], max(1.0, known[1].sum())))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache(model)
@@ -227,12 +229,18 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], ["label", "n", "best", "sums"])
 
-    judged = sample.mapInArrow(judge, "label long, n long, best double, sums array<double>").toPandas()
+    judged = sample.where("calibrates").mapInArrow(judge, "label long, n long, best double, sums array<double>").toPandas()
     # Extreme values: in clean texts the mean number of segments of sum s or more is weight x n x exp(-decay s).
+    # These documents took no part in the counts, so chance findings show here as they will elsewhere.
+    if not 0 < int(judged["label"].sum()) < len(judged):
+        return model
     clean = judged[judged["label"] == 0]
     level = 1.0
-    above = sum(int((np.asarray(s) >= level).sum()) for s in clean["sums"])
-    model.weight = max(1e-6, (above + 0.5) / max(1.0, float(clean["n"].sum())) * math.exp(model.decay * level))
+    above = np.concatenate([np.asarray(s, float) for s in clean["sums"]] or [np.zeros(0)])
+    above = above[above >= level]
+    if len(above) >= 20:
+        model.decay = max(0.05, min(model.decay, 1 / max(1e-3, float((above - level).mean()))))
+    model.weight = max(1e-6, (len(above) + 0.5) / max(1.0, float(clean["n"].sum())) * math.exp(model.decay * level))
     x = np.array([_statistic(model, [(0, 0, v) for v in s], n) for s, n in zip(judged["sums"], judged["n"], strict=True)])
     model.a, model.b = _logistic(x, judged["label"].to_numpy(float))
     return model
