@@ -4,7 +4,7 @@ A document is compared as a whole, paragraph by paragraph and line by line; a te
 rules out the wanted coefficient is never compared.
 
 Contract: null and empty texts match nothing; texts of one word have no bigram and match nothing; several templates
-may match one span, each is reported (ties in coefficient too); repeated rows are reported each; an empty table gives
+may match one span, each is reported and the best of a span marked (all of them on a tie); repeated rows are reported each; an empty table gives
 an empty result; columns other than doc_id and text are never read. start and end are code points.
 """
 
@@ -133,12 +133,14 @@ class Scanner:
             if (start, end) in seen:
                 continue
             seen.add((start, end))
-            for name, k, d in self.unit(normalise(text[start:end])):
-                out.append({"unit": kind, "start": start, "end": end, "license": name, "template": k, "dice": d})
+            found = self.unit(normalise(text[start:end]))
+            top = max((d for _, _, d in found), default=0.0)
+            for name, k, d in found:
+                out.append({"unit": kind, "start": start, "end": end, "license": name, "template": k, "dice": d, "best": d == top})
         return out
 
 
-FOUND = "doc_id long, unit string, start int, end int, license string, template int, dice double"
+FOUND = "doc_id long, unit string, start int, end int, license string, template int, dice double, best boolean"
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -146,10 +148,10 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least)
-        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64())
+        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.bool_())
         for batch in batches:
             rows = [(doc, *m.values()) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in scanner.scan(text.as_py())]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+            columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)

@@ -5,8 +5,8 @@ was found in and the neighbouring words. The forest is trained on labelled findi
 seeded set of them (credentials in the formats that providers document, and look-alikes: checksums, commit ids,
 UUIDs, placeholders, versions, file names), and callers can pass their own.
 
-Contract: null and empty texts have no candidates; a null path is an empty one; of overlapping candidates the one
-that starts first stays (of those the longest); repeated rows are reported each; an empty table gives an empty
+Contract: null and empty texts have no candidates; a null path is an empty one; of overlapping candidates
+those of rules and assignments stay before mere runs, then the one that starts first, then the longest; repeated rows are reported each; an empty table gives an empty
 result; other columns are never read by scan() and carried along by redact(). start and end are code points.
 """
 
@@ -40,7 +40,7 @@ _RULES = (
     ("jwt", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,}")),
     ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")),
 )
-_ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]+[_-])*(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"'<>;,]{6,})")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,30}[_-]){0,4}(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"'<>;,]{6,})")
 _KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential")
 #: Long runs that credentials may consist of; those of letters alone are words.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -107,11 +107,17 @@ def candidates(text: str | None) -> list[Candidate]:
         core = value.strip("=-_/+")
         if len(core) >= 16 and not core.isalpha() and any(map(str.isalpha, core)) and any(map(str.isdigit, core)):
             found.append(Candidate("run", m.start(), m.end(), value))
-    found.sort(key=lambda c: (c.start, -c.end))
     out: list[Candidate] = []
-    for c in found:
-        if not out or c.start >= out[-1].end:
-            out.append(c)
+    for plain in (False, True):  # what a rule or an assignment names goes before a mere run
+        end, at, fixed = 0, 0, out
+        kept = []
+        for c in sorted((c for c in found if (c.kind == "run") == plain), key=lambda c: (c.start, -c.end)):
+            while at < len(fixed) and fixed[at].end <= c.start:
+                at += 1
+            if c.start >= end and not (at < len(fixed) and fixed[at].start < c.end):
+                kept.append(c)
+                end = c.end
+        out = sorted([*fixed, *kept], key=lambda c: c.start)
     return out
 
 
