@@ -22,7 +22,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -177,39 +176,82 @@ class _Union:
             self.parent[max(a, b)] = min(a, b)
 
 
-def _stars(keys: list[bytes], union: _Union) -> pd.DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Groups of rows that agree in the first so many columns, of batches sorted by those.
+
+    A group that goes on in the next batch is held back; groups are bounded by what deals them out.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows]).combine_chunks()
+        ids = [rows.column(k).to_pylist() for k in range(keys)]
+        ids = list(zip(*ids, strict=True))
+        starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield rows.slice(a, b - a)
+        held = rows.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def _stars(keys: list[bytes], union: _Union) -> list[tuple[bytes, bytes]]:
     """Edges from each component's first member to the others."""
-    pairs = [(keys[r], keys[i]) for i in range(len(keys)) if (r := union.find(i)) != i]
-    return pd.DataFrame(pairs, columns=["a", "b"]) if pairs else pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object)})
+    return [(keys[r], keys[i]) for i in range(len(keys)) if (r := union.find(i)) != i]
+
+
+def _edges(judge):
+    """judge(rows of a group, without its keys) gives edges: as a function of sorted batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[bytes, bytes]] = []
+
+        def batch() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
+        for group in judge(batches):
+            out += group
+            if len(out) > 10_000:
+                yield batch()
+        yield batch()
 
-def _coarse(frame: pd.DataFrame) -> pd.DataFrame:
+    return run
+
+
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
     """Joins texts of a bucket (or part of one) whose signatures agree in AGREE registers."""
-    frame = frame.sort_values("key").drop_duplicates("key")
-    keys = frame["key"].tolist()
-    marks = np.stack([np.frombuffer(s, "<u2") for s in frame["sig"]])
-    union = _Union(len(keys))
-    for i in range(len(keys)):
-        later = np.arange(i + 1, len(keys))
-        if not len(later):
-            break
-        near = later[(marks[later] == marks[i]).sum(1) >= AGREE]
-        for k in near.tolist():
-            union.join(i, k)
-    return _stars(keys, union)
+    for group in _runs(batches, 2):
+        if group.num_rows < 2:
+            continue
+        keys, sigs = group.column(2).to_pylist(), group.column(3).to_pylist()
+        marks = np.frombuffer(b"".join(sigs), "<u2").reshape(len(keys), REGISTERS)
+        union = _Union(len(keys))
+        for i in range(len(keys) - 1):
+            for k in np.flatnonzero((marks[i + 1 :] == marks[i]).sum(1) >= AGREE).tolist():
+                union.join(i, i + 1 + k)
+        yield _stars(keys, union)
+
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    for group in _runs(batches, 3):
+        if group.num_rows > 1:
+            yield _verify(*(group.column(k).to_pylist() for k in (3, 4, 5)))
 
-def _verified(frame: pd.DataFrame) -> pd.DataFrame:
+
+def _verify(keys: list[bytes], hashes: list[bytes], weights: list[bytes]) -> list[tuple[bytes, bytes]]:
     """Joins texts of a group (or part of one) whose exact similarity is SIMILAR or more.
 
     Common shingles of all pairs come from products of the 0/1 matrix of shingles that two texts or more have.
     Where every shingle of both texts occurs once, they give the similarity; else the weights are compared
     pair by pair, only where the texts aren't joined yet and the most possible similarity suffices.
     """
-    frame = frame.sort_values("key").drop_duplicates("key")
-    keys = frame["key"].tolist()
-    sets = [np.frombuffer(h, "<u8") for h in frame["hashes"]]
-    counts = [np.frombuffer(c, "<u4") for c in frame["counts"]]
+    sets = [np.frombuffer(h, "<u8") for h in hashes]
+    counts = [np.frombuffer(c, "<u4") for c in weights]
     n = len(keys)
     sizes = np.array([len(s) for s in sets])
     everything = np.concatenate(sets)
@@ -225,7 +267,7 @@ def _verified(frame: pd.DataFrame) -> pd.DataFrame:
     at, of = at[order], rows[order]
     for start in range(0, len(shared), width):
         a, b = np.searchsorted(at, [start, start + width])
-        block = np.zeros((n, width), np.float32)
+        block = np.zeros((n, min(width, len(shared) - start)), np.float32)
         block[of[a:b], at[a:b] - start] = 1
         common += block @ block.T
     jaccard = common / np.maximum(sizes[:, None] + sizes[None] - common, 1)
@@ -240,7 +282,7 @@ def _verified(frame: pd.DataFrame) -> pd.DataFrame:
         weight = np.concatenate(counts)[order] / totals[of]
         for start in range(0, len(shared), width):
             a, b = np.searchsorted(at, [start, start + width])
-            block, has = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
+            block, has = (np.zeros((n, min(width, len(shared) - start)), np.float32) for _ in range(2))
             block[of[a:b], at[a:b] - start] = weight[a:b]
             has[of[a:b], at[a:b] - start] = 1
             share += block @ has.T
@@ -266,6 +308,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _by_group(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a group in one task, next to each other, in order of key."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "key")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and class_size of every document."""
     spark = docs.sparkSession
@@ -277,7 +324,7 @@ def classes(docs: DataFrame) -> DataFrame:
     often = cut(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     members = cut(bands.join(often, "band").join(nodes.select("key", "sig"), "key"), "near-members")
     part = F.pmod(F.xxhash64("key", F.col("band")), F.ceil(F.col("n") / GROUP).cast("long"))
-    coarse = components(members.select("band", part.alias("part"), "key", "sig").groupBy("band", "part").applyInPandas(_coarse, "a binary, b binary"))
+    coarse = components(_by_group(members.select("band", part.alias("part"), "key", "sig"), ["band", "part"]).mapInArrow(_edges(_coarse), "a binary, b binary"))
 
     sizes = cut(coarse.groupBy("label").agg(F.count("*").alias("size")), "near-sizes")
     # what verification compares: the texts of coarse groups, fetched by their smallest doc_id
@@ -297,12 +344,14 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = cut(found.join(origins, "key", "left").select("doc_id", "key", "label", deals.alias("deals")), "near-wanted")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # rows that repeat a doc_id and a text meet here
         for batch in batches:
             keep, hashes, counts = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
                 words = words_of(text.as_py())
-                keep.append(bool(words) and xxhash.xxh3_128_digest("\n".join(words)) == key)
+                keep.append(bool(words) and key not in seen and xxhash.xxh3_128_digest("\n".join(words)) == key)
                 if keep[-1]:
+                    seen.add(key)
                     h, n = shingles(words)
                     hashes.append(h.astype("<u8").tobytes())
                     counts.append(n.astype("<u4").tobytes())
@@ -310,9 +359,11 @@ def classes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["key", "label", "deals", "hashes", "counts"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fetched = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "label", "deals", "text")
+    # wanted grows with the input, so it is never broadcast, at no size
+    fetched = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "label", "deals", "text")
     weighed = fetched.mapInArrow(weigh, "key binary, label binary, deals array<struct<deal:int,part:bigint>>, hashes binary, counts binary")
-    links = weighed.withColumn("at", F.explode("deals")).groupBy("label", "at.deal", "at.part").applyInPandas(_verified, "a binary, b binary")
+    dealt = weighed.withColumn("at", F.explode("deals")).select("label", "at.deal", "at.part", "key", "hashes", "counts")
+    links = _by_group(dealt, ["label", "deal", "part"]).mapInArrow(_edges(_verified), "a binary, b binary")
     final = components(links)
 
     # classes: each text's label, then the smallest doc_id below a label
