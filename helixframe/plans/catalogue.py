@@ -113,7 +113,7 @@ def _(spark, sf_dir):
     return stats.histogram(_table(spark, sf_dir, "orders"), "o_totalprice", 1000)
 
 
-@query("histogram_negative", "SELECT trunc(c_acctbal / 500) * 500 AS c_acctbal, count(*) AS count FROM customer GROUP BY 1", view=False)
+@query("histogram_negative", "SELECT trunc(c_acctbal / 500) * 500 + 0.0 AS c_acctbal, count(*) AS count FROM customer GROUP BY 1", view=False)
 def _(spark, sf_dir):
     return stats.histogram(_table(spark, sf_dir, "customer"), "c_acctbal", 500)
 
@@ -154,7 +154,7 @@ _facet("facet_simple", "type", "SELECT type, count(*) AS count FROM v GROUP BY 1
 _facet("facet_genes", "gene", "SELECT gene, count(*) AS count FROM (SELECT id, gene FROM v UNION SELECT id, gene2 FROM v WHERE gene2 <> '') GROUP BY 1")
 _facet("facet_terms", "ct", "SELECT ct, count(*) AS count FROM (SELECT 'term_' || (k % 7) AS ct FROM v UNION ALL SELECT 'term_' || (7 + k % 2) FROM v) GROUP BY 1")
 _facet("facet_include", "chromosome[21,22]", "SELECT chromosome, count(*) AS count FROM v WHERE chromosome IN ('21', '22') GROUP BY 1")
-_facet("facet_range", "gerp[-10..10]:5", 'SELECT trunc((k % 40 - 20) / 5.0) * 5 AS "gerpRange", count(*) AS count FROM v WHERE trunc((k % 40 - 20) / 5.0) * 5 BETWEEN -10 AND 10 GROUP BY 1')
+_facet("facet_range", "gerp[-10..10]:5", 'SELECT trunc((k % 40 - 20) / 5.0) * 5 + 0.0::DOUBLE AS "gerpRange", count(*) AS count FROM v WHERE trunc((k % 40 - 20) / 5.0) * 5 BETWEEN -10 AND 10 GROUP BY 1')
 _facet("facet_popfreq_range", "popFreq__1kG__ALL[0..1]:0.25", 'SELECT floor((k % 100) / 25) * 0.25 AS "freqRange", count(*) AS count FROM v GROUP BY 1', {"popFreq__1kG__ALLRange": "freqRange", "count": "count"})
 _facet("facet_nested2", "biotype>>type", "SELECT biotype, type, count(*) AS count FROM v GROUP BY 1, 2")
 _facet("facet_nested3", "type>>chromosome>>cadd_raw[0..50]:10", 'SELECT type, chromosome, trunc(z / 10.0) * 10 AS "cadd_rawRange", count(*) AS count FROM v GROUP BY 1, 2, 3')

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import metadata as M
 from .functions import variant
-from .operators import association, facet, family, pairwise, stats
+from .operators import association, family, pairwise
+from .operators import facet as faceting
+from .operators import stats as statistics
 from .sources import variants
 
 
@@ -30,15 +32,15 @@ class Helix:
     studies = staticmethod(M.studies)
     pedigrees = staticmethod(M.pedigrees)
     pedigree = staticmethod(M.pedigree)
-    stats = staticmethod(stats.variant_stats)
-    global_stats = staticmethod(stats.variant_set_stats)
-    sample_stats = staticmethod(stats.sample_stats)
-    histogram = staticmethod(stats.histogram)
-    chrom_density = staticmethod(stats.chrom_density)
-    inbreeding = staticmethod(stats.inbreeding)
-    impute_sex = staticmethod(stats.impute_sex)
-    facet = staticmethod(facet.facet)
-    facet_tree = staticmethod(facet.tree)
+    stats = staticmethod(statistics.variant_stats)
+    global_stats = staticmethod(statistics.variant_set_stats)
+    sample_stats = staticmethod(statistics.sample_stats)
+    histogram = staticmethod(statistics.histogram)
+    chrom_density = staticmethod(statistics.chrom_density)
+    inbreeding = staticmethod(statistics.inbreeding)
+    impute_sex = staticmethod(statistics.impute_sex)
+    facet = staticmethod(faceting.facet)
+    facet_tree = staticmethod(faceting.tree)
     hardy_weinberg = staticmethod(association.hardy_weinberg)
     chi_square = staticmethod(association.chi_square)
     fisher = staticmethod(association.fisher)
