@@ -6,14 +6,16 @@ with their probability Jaccard similarity. Elements stop as soon as their next a
 hold. Bands of registers propose partners, signatures sort them into coarse groups, and inside a coarse group the
 exact similarity of the shingle weights decides. Classes are the components of links of 0.8 or more.
 
-Texts with the same words are one text from the start, whatever their number. Coarse groups of up to GROUP texts
-are verified whole. A larger one is dealt into random parts several times, and each part also gets the texts
-that share most bands with others (the likeliest common origin), so its texts link through those or through
-parts; no text and no group is left out.
+Texts with the same words are one text from the start, whatever their number. Buckets of more than GROUP texts are
+coarse groups as they are. Coarse groups of up to GROUP texts are verified whole. A larger one is first dealt into
+random parts, each with the texts that share most bands with others (the likeliest common origin); then every text
+that is still outside the group's largest component is compared with all texts of the group, block by block. Two
+texts inside that component need no comparison, so no link of a group is left out, whatever its size.
 
 Contract: a text without any word is alone in its class; texts of fewer than five words have one shingle; null texts
 have no words; null doc_ids are allowed (a class of such rows only has a null class_id); repeated rows share
-a class; an empty table gives an empty result; other columns are never read. class_id is the smallest doc_id.
+a class; an empty table gives an empty result; other columns are never read. class_id is the smallest doc_id. One
+repeated row stays of each class, and of a class without any doc_id the row whose text has the smallest hash.
 """
 
 from __future__ import annotations
@@ -27,16 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table
+from .common import cut, release, ship, table
 
 WORDS = 5
 SIMILAR = 0.8
 REGISTERS, BANDS = 64, 16
 ROWS = REGISTERS // BANDS
-#: Registers that must agree before texts count as possibly similar: three standard errors under SIMILAR.
-AGREE = int(np.ceil(REGISTERS * (SIMILAR - 3 * np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS))))
-#: Texts that one task compares at once, parts of a larger group, and common origins added to each part.
-GROUP, DEALS, ORIGINS = 1024, 6, 16
+#: Registers that must agree before texts count as possibly similar: four standard errors under SIMILAR.
+AGREE = int(np.ceil(REGISTERS * (SIMILAR - 4 * np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS))))
+#: Texts that one task compares at once, and common origins added to each part of a larger group.
+GROUP, ORIGINS = 1024, 16
 #: Shingles sketched at once.
 BLOCK = 400_000
 
@@ -125,8 +127,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (from_here[first] / x[common] + before[first] / y[common])).sum())
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, key (128 bits of the word sequence; null without words) and sig (registers, little-endian)."""
+    """doc_id, its text's hash, key (128 bits of the word sequence; null without words) and sig (registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +161,9 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
                     flush()
                     size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, sig binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, key binary, sig binary")
 
 
 class _Union:
@@ -224,11 +231,11 @@ def _edges(judge):
 
 
 def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
-    """Joins texts of a bucket (or part of one) whose signatures agree in AGREE registers."""
-    for group in _runs(batches, 2):
+    """Joins texts of a bucket whose signatures agree in AGREE registers."""
+    for group in _runs(batches, 1):
         if group.num_rows < 2:
             continue
-        keys, sigs = group.column(2).to_pylist(), group.column(3).to_pylist()
+        keys, sigs = group.column(1).to_pylist(), group.column(2).to_pylist()
         marks = np.frombuffer(b"".join(sigs), "<u2").reshape(len(keys), REGISTERS)
         union = _Union(len(keys))
         for i in range(len(keys) - 1):
@@ -238,13 +245,23 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, byt
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """All against all in each part."""
     for group in _runs(batches, 3):
         if group.num_rows > 1:
-            yield _verify(*(group.column(k).to_pylist() for k in (3, 4, 5)))
+            everyone = np.arange(group.num_rows)
+            yield _verify(*(group.column(k).to_pylist() for k in (4, 5, 6)), everyone, everyone)
 
 
-def _verify(keys: list[bytes], hashes: list[bytes], weights: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """Joins texts of a group (or part of one) whose exact similarity is SIMILAR or more.
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """A block of outsiders against a part of their group."""
+    for group in _runs(batches, 3):
+        outside = np.asarray(group.column(3).to_pylist(), bool)
+        if outside.any() and not outside.all():
+            yield _verify(*(group.column(k).to_pylist() for k in (4, 5, 6)), np.flatnonzero(outside), np.flatnonzero(~outside))
+
+
+def _verify(keys: list[bytes], hashes: list[bytes], weights: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Joins texts, one among left and one among right, whose exact similarity is SIMILAR or more.
 
     Common shingles of all pairs come from products of the 0/1 matrix of shingles that two texts or more have.
     Where every shingle of both texts occurs once, they give the similarity; else the weights are compared
@@ -252,12 +269,10 @@ def _verify(keys: list[bytes], hashes: list[bytes], weights: list[bytes]) -> lis
     """
     sets = [np.frombuffer(h, "<u8") for h in hashes]
     counts = [np.frombuffer(c, "<u4") for c in weights]
-    n = len(keys)
+    n, whole = len(keys), left is right
     sizes = np.array([len(s) for s in sets])
-    everything = np.concatenate(sets)
     rows = np.repeat(np.arange(n), sizes)
-    values, column, often = np.unique(everything, return_inverse=True, return_counts=True)
-    common = np.zeros((n, n), np.float32)
+    values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(often > 1)
     place = np.full(len(values), -1)
     place[shared] = np.arange(len(shared))
@@ -265,32 +280,34 @@ def _verify(keys: list[bytes], hashes: list[bytes], weights: list[bytes]) -> lis
     at = place[column]
     order = np.argsort(at, kind="stable")
     at, of = at[order], rows[order]
+    plain = np.array([bool((c == 1).all()) for c in counts])
+    other = ~(plain[left][:, None] & plain[right][None])
+    share = np.concatenate(counts)[order] / np.array([c.sum() for c in counts], float)[of]
+    common = np.zeros((len(left), len(right)), np.float32)
+    held, had = (np.zeros(common.shape, np.float32) for _ in range(2)) if other.any() else (None, None)
     for start in range(0, len(shared), width):
         a, b = np.searchsorted(at, [start, start + width])
-        block = np.zeros((n, min(width, len(shared) - start)), np.float32)
-        block[of[a:b], at[a:b] - start] = 1
-        common += block @ block.T
-    jaccard = common / np.maximum(sizes[:, None] + sizes[None] - common, 1)
-    plain = np.array([bool((c == 1).all()) for c in counts])
+        has = np.zeros((n, min(width, len(shared) - start)), np.float32)
+        has[of[a:b], at[a:b] - start] = 1
+        l, r = (has, has) if whole else (has[left], has[right])
+        common += l @ r.T
+        if held is not None:  # either text's weight in common shingles
+            weight = np.zeros_like(has)
+            weight[of[a:b], at[a:b] - start] = share[a:b]
+            held += (weight if whole else weight[left]) @ r.T
+            had += l @ (weight if whole else weight[right]).T
+    jaccard = common / np.maximum(sizes[left][:, None] + sizes[right][None] - common, 1)
     union = _Union(n)
-    for i, k in zip(*np.nonzero(np.triu((jaccard >= SIMILAR) & plain[:, None] & plain[None], 1)), strict=True):
-        union.join(int(i), int(k))
-    mixed = np.triu((common > 0) & ~(plain[:, None] & plain[None]), 1)
-    if mixed.any():
-        totals = np.array([c.sum() for c in counts], float)
-        share = np.zeros((n, n), np.float32)  # the least of both texts' weight in common shingles bounds the similarity
-        weight = np.concatenate(counts)[order] / totals[of]
-        for start in range(0, len(shared), width):
-            a, b = np.searchsorted(at, [start, start + width])
-            block, has = (np.zeros((n, min(width, len(shared) - start)), np.float32) for _ in range(2))
-            block[of[a:b], at[a:b] - start] = weight[a:b]
-            has[of[a:b], at[a:b] - start] = 1
-            share += block @ has.T
-        possible = np.minimum(share, share.T) >= SIMILAR - 1e-4
-        for i, k in sorted(zip(*np.nonzero(mixed & possible), strict=True), key=lambda p: -jaccard[p]):
-            if union.find(int(i)) != union.find(int(k)) and probability_jaccard((sets[i], counts[i]), (sets[k], counts[k])) >= SIMILAR - 1e-9:
-                union.join(int(i), int(k))
-    return _stars(keys, union)
+    wanted = np.triu(common > 0, 1) if whole else common > 0
+    for i, k in np.argwhere(wanted & (jaccard >= SIMILAR) & ~other).tolist():
+        union.join(int(left[i]), int(right[k]))
+    if held is not None:
+        unsure = np.argwhere(wanted & other & (np.minimum(held, had) >= SIMILAR - 1e-4))
+        for i, k in unsure[np.argsort(-jaccard[tuple(unsure.T)], kind="stable")].tolist():
+            i, k = int(left[i]), int(right[k])
+            if union.find(i) != union.find(k) and probability_jaccard((sets[i], counts[i]), (sets[k], counts[k])) >= SIMILAR - 1e-9:
+                union.join(i, k)
+    return [(a, b) for a, b in _stars(keys, union) if a != b]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,13 +315,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels can be split; the driver only learns whether a round changed anything."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    before = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         hooked = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old")), "hooked")
         target = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
         jumped = cut(hooked.join(target, "label").select("node", F.least("label", "next").alias("label"), "old"), "jumped")
-        labels = jumped.select("node", "label")
+        release(before, hooked)
+        labels, before = jumped.select("node", "label"), jumped
         if jumped.where("label != old").isEmpty():
+            release(both)
             return labels
 
 
@@ -313,35 +333,13 @@ def _by_group(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "key")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and class_size of every document."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = cut(sketch_rows(docs), "near-sketches")
-    nodes = cut(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "near-texts")
-    band_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    bands = nodes.select("key", band_of.alias("band"))
-    often = cut(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    members = cut(bands.join(often, "band").join(nodes.select("key", "sig"), "key"), "near-members")
-    part = F.pmod(F.xxhash64("key", F.col("band")), F.ceil(F.col("n") / GROUP).cast("long"))
-    coarse = components(_by_group(members.select("band", part.alias("part"), "key", "sig"), ["band", "part"]).mapInArrow(_edges(_coarse), "a binary, b binary"))
+EDGES = "a binary, b binary"
+#: Where a text goes for verification: a block of outsiders (0 in the first round), a part, and whether as an outsider.
+PLACE = "array<struct<block:bigint,part:bigint,outside:boolean>>"
 
-    sizes = cut(coarse.groupBy("label").agg(F.count("*").alias("size")), "near-sizes")
-    # what verification compares: the texts of coarse groups, fetched by their smallest doc_id
-    found = coarse.join(sizes, "label").withColumnRenamed("node", "key")
-    found = cut(found.join(nodes.select("key", "doc_id"), "key"), "near-found")
-    reach = members.groupBy("key").agg(F.sum(F.log("n")).alias("reach"))
-    origins = cut(
-        found.where(F.col("size") > GROUP).join(reach, "key").groupBy("label", F.pmod(F.xxhash64("key"), F.lit(ORIGINS)).alias("slot")).agg(F.max_by("key", F.struct("reach", "key")).alias("key")).select("key", F.lit(True).alias("origin")),
-        "near-origins",
-    )
-    deals = F.when(F.col("size") <= GROUP, F.array(F.struct(F.lit(0).alias("deal"), F.lit(0).cast("long").alias("part")))).otherwise(
-        F.when(
-            F.col("origin"),
-            F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DEALS - 1)), lambda d: F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / GROUP) - 1), lambda p: F.struct(d.alias("deal"), p.alias("part"))))),
-        ).otherwise(F.transform(F.sequence(F.lit(0), F.lit(DEALS - 1)), lambda d: F.struct(d.alias("deal"), F.pmod(F.xxhash64("key", d), F.ceil(F.col("size") / GROUP)).alias("part"))))
-    )
-    wanted = cut(found.join(origins, "key", "left").select("doc_id", "key", "label", deals.alias("deals")), "near-wanted")
+
+def _weighed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """label, block, part, outside, key, hashes, counts: the shingles of wanted texts at each of their places."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # rows that repeat a doc_id and a text meet here
@@ -356,19 +354,80 @@ def classes(docs: DataFrame) -> DataFrame:
                     hashes.append(h.astype("<u8").tobytes())
                     counts.append(n.astype("<u4").tobytes())
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["key", "label", "deals", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["key", "label", "places", "hashes", "counts"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
+    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
     # wanted grows with the input, so it is never broadcast, at no size
-    fetched = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "label", "deals", "text")
-    weighed = fetched.mapInArrow(weigh, "key binary, label binary, deals array<struct<deal:int,part:bigint>>, hashes binary, counts binary")
-    dealt = weighed.withColumn("at", F.explode("deals")).select("label", "at.deal", "at.part", "key", "hashes", "counts")
-    links = _by_group(dealt, ["label", "deal", "part"]).mapInArrow(_edges(_verified), "a binary, b binary")
-    final = components(links)
-
-    # classes: each text's label, then the smallest doc_id below a label
-    own = rows.select("doc_id", "key")
-    labelled = cut(own.join(final.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", F.coalesce("label", "key").alias("label")), "near-labels")
+    fetched = texts.join(wanted.hint("merge"), same).select("key", "label", "places", "text")
+    weighed = fetched.mapInArrow(weigh, f"key binary, label binary, places {PLACE}, hashes binary, counts binary")
+    return weighed.withColumn("at", F.explode("places")).select("label", "at.block", "at.part", "at.outside", "key", "hashes", "counts")
+
+
+def _places(block, part, outside: bool):
+    return F.struct(block.cast("long").alias("block"), part.cast("long").alias("part"), F.lit(outside).alias("outside"))
+
+
+def _numbers(count):
+    return F.sequence(F.lit(0).cast("long"), count - 1)
+
+
+def _links(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """Verified links (a, b) inside coarse groups: found has key, label, size and where to find the text."""
+    parts = F.ceil(F.col("size") / GROUP)
+    part = F.pmod(F.xxhash64("key"), parts)
+    reach = members.groupBy("key").agg(F.sum(F.log("n")).alias("reach"))
+    origins = cut(
+        found.where(F.col("size") > GROUP).join(reach, "key").groupBy("label", F.pmod(F.xxhash64("key"), F.lit(ORIGINS)).alias("slot")).agg(F.max_by("key", F.struct("reach", "key")).alias("key")).select("key", F.lit(True).alias("origin")),
+        "near-origins",
+    )
+    none = F.lit(0)
+    places = F.when(F.col("origin"), F.transform(_numbers(parts), lambda p: _places(none, p, False))).otherwise(F.array(_places(none, part, False)))
+    wanted = cut(found.join(origins, "key", "left").select("doc_id", "text_hash", "key", "label", places.alias("places")), "near-wanted")
+    links = cut(_by_group(_weighed(docs, wanted), ["label", "block", "part"]).mapInArrow(_edges(_verified), EDGES), "near-links")
+    large = found.where(F.col("size") > GROUP)
+    if large.isEmpty():
+        return links
+
+    first = components(links).withColumnRenamed("label", "component").withColumnRenamed("node", "key")
+    split = cut(large.join(first, "key", "left").withColumn("component", F.coalesce("component", "key")), "near-split")
+    main = split.groupBy("label", "component").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = cut(main.where(F.col("all") > F.col("most")).select("label", "main", F.ceil((F.col("all") - F.col("most")) / GROUP).alias("blocks")), "near-main")
+    block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))
+    inside = F.transform(_numbers(F.col("blocks")), lambda b: _places(b, part, False))
+    outside = F.when(F.col("component") != F.col("main"), F.transform(_numbers(parts), lambda p: _places(block, p, True))).otherwise(F.array().cast(PLACE))
+    again = cut(split.join(main, "label").select("doc_id", "text_hash", "key", "label", F.concat(inside, outside).alias("places")), "near-again")
+    more = _by_group(_weighed(docs, again), ["label", "block", "part"]).mapInArrow(_edges(_crossed), EDGES)
+    return links.union(more)
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and label of every document; label is null for texts without words."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = cut(sketch_rows(docs), "near-sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = cut(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), first.alias("at")).select("key", "sig", "at.doc_id", "at.text_hash"), "near-texts")
+    band_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
+    bands = nodes.select("key", band_of.alias("band"))
+    often = cut(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1"), "near-buckets")
+    members = cut(bands.join(often, "band").join(nodes.select("key", "sig"), "key"), "near-members")
+    alike = _by_group(members.where(F.col("n") <= GROUP).select("band", "key", "sig"), ["band"]).mapInArrow(_edges(_coarse), EDGES)
+    whole = members.where((F.col("n") > GROUP) & (F.col("key") != F.col("head"))).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    coarse = components(alike.union(whole))
+
+    sizes = cut(coarse.groupBy("label").agg(F.count("*").alias("size")), "near-sizes")
+    # what verification compares: the texts of coarse groups, fetched by their first row
+    found = coarse.join(sizes, "label").withColumnRenamed("node", "key")
+    found = cut(found.join(nodes.select("key", "doc_id", "text_hash"), "key"), "near-found")
+    final = components(_links(docs, found, members))
+    own = rows.select("doc_id", "text_hash", "key")
+    return cut(own.join(final.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label")), "near-labels")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and class_size of every document."""
+    labelled = _labelled(docs)
     alone = labelled.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     heads = cut(labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "near-heads")
     return labelled.join(heads, "label").select("doc_id", "class_id", "class_size").union(alone)
@@ -377,11 +436,17 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the smallest doc_id, with all its columns.
 
-    Rows that repeat the kept one's doc_id and text are one document.
+    A row is found again by doc_id and its text's hash; rows that repeat both are one document.
     """
-    kept = cut(classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_near_id")).distinct(), "near-kept")
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "text"])
+    labelled = _labelled(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at")
+    heads = labelled.where("label is not null").groupBy("label").agg(first).select("at.doc_id", "at.text_hash")
+    empty = labelled.where("label is null").select("doc_id", "text_hash").distinct()
+    # two keys without nulls, so that the join's partitions also serve to leave out repeated rows
+    number, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), lambda h: F.xxhash64(h, F.col("doc_id").isNull())
+    kept = cut(heads.union(empty).select(number.alias("_near_id"), text(F.col("text_hash")).alias("_near_text")), "near-kept")
+    keyed = docs.withColumn("_near_id", number).withColumn("_near_text", text(F.xxhash64(F.col("text").cast("string"))))
+    return keyed.join(kept, ["_near_id", "_near_text"], "left_semi").dropDuplicates(["_near_id", "_near_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_probminhash_classes(spark, sf_dir: str) -> DataFrame:

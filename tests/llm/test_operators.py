@@ -239,11 +239,29 @@ def test_near_classes_by_brute_force(spark, monkeypatch):
     got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in neardup.classes(documents(spark, rows)).collect()}
     sizes = Counter(found(i) for i in range(len(texts)))
     assert got == {i: (found(i), sizes[found(i)]) for i in range(len(texts))}
-    monkeypatch.setattr(neardup, "GROUP", 8)  # groups of more than 8 texts are dealt into parts
+    assert {found(i) for i in range(len(texts))} == {r["doc_id"] for r in neardup.keep_one(documents(spark, rows)).collect()}
+    monkeypatch.setattr(neardup, "GROUP", 4)  # buckets and groups of more than 4 texts are dealt into parts
+    monkeypatch.setattr(neardup, "ORIGINS", 1)
     parts = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, rows)).collect()}
-    assert np.mean([parts[i] == found(i) for i in range(len(texts))]) > 0.9
-    kept = {r["doc_id"] for r in neardup.keep_one(documents(spark, rows)).collect()}
-    assert {found(i) for i in range(len(texts))} >= kept
+    assert parts == {i: found(i) for i in range(len(texts))}
+
+
+def test_near_links_of_a_chain_in_a_large_group(spark, monkeypatch):
+    """Texts that drift apart word by word: each links to its neighbours alone, and no part holds them all."""
+    rng = random.Random(8)
+    text = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(text), "s"))
+        for k in range(2):
+            text[(i * 7 + k * 100) % 200] = f"n{i}x{k}"
+    rows += [(100 + i, " ".join(f"z{i}y{k}" for k in range(50)), "s") for i in range(5)] + [(None, rows[3][1], "s"), (None, "no number here at all", "s"), (None, "no number here at all", "s")]
+    monkeypatch.setattr(neardup, "GROUP", 6)
+    monkeypatch.setattr(neardup, "ORIGINS", 2)
+    docs = documents(spark, rows)
+    got = [(r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()]
+    assert Counter(got) == Counter([(i, 0) for i in range(60)] + [(None, 0)] + [(100 + i, 100 + i) for i in range(5)] + [(None, None)] * 2)
+    assert Counter(r["doc_id"] for r in neardup.keep_one(docs).collect()) == Counter([0, *range(100, 105), None])
 
 
 # 6 ------------------------------------------------------------------------------------------------------------------
