@@ -38,7 +38,7 @@ ROWS = REGISTERS // BANDS
 #: Registers that must agree before texts count as possibly similar: four standard errors under SIMILAR.
 AGREE = int(np.ceil(REGISTERS * (SIMILAR - 4 * np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS))))
 #: Texts that one task compares at once, and common origins added to each part of a larger group.
-GROUP, ORIGINS = 1024, 16
+GROUP, ORIGINS = 192, 16
 #: Shingles sketched at once.
 BLOCK = 400_000
 
@@ -339,13 +339,13 @@ PLACE = "array<struct<block:bigint,part:bigint,outside:boolean>>"
 
 
 def _weighed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """label, block, part, outside, key, hashes, counts: the shingles of wanted texts at each of their places."""
+    """wanted's key, label, size and places with each text's shingles (hashes, counts)."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # rows that repeat a doc_id and a text meet here
         for batch in batches:
             keep, hashes, counts = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(4), strict=True):
                 words = words_of(text.as_py())
                 keep.append(bool(words) and key not in seen and xxhash.xxh3_128_digest("\n".join(words)) == key)
                 if keep[-1]:
@@ -354,14 +354,19 @@ def _weighed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     hashes.append(h.astype("<u8").tobytes())
                     counts.append(n.astype("<u4").tobytes())
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["key", "label", "places", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(4)), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["key", "label", "size", "places", "hashes", "counts"])
 
     texts = _texts(docs)
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
     # wanted grows with the input, so it is never broadcast, at no size
-    fetched = texts.join(wanted.hint("merge"), same).select("key", "label", "places", "text")
-    weighed = fetched.mapInArrow(weigh, f"key binary, label binary, places {PLACE}, hashes binary, counts binary")
-    return weighed.withColumn("at", F.explode("places")).select("label", "at.block", "at.part", "at.outside", "key", "hashes", "counts")
+    fetched = texts.join(wanted.hint("merge"), same).select("key", "label", "size", "places", "text")
+    return fetched.mapInArrow(weigh, f"key binary, label binary, size long, places {PLACE}, hashes binary, counts binary")
+
+
+def _compared(weighed: DataFrame, judge) -> DataFrame:
+    """Edges that judge finds among the texts at each place of their group."""
+    dealt = weighed.withColumn("at", F.explode("places")).select("label", "at.block", "at.part", "at.outside", "key", "hashes", "counts")
+    return _by_group(dealt, ["label", "block", "part"]).mapInArrow(_edges(judge), EDGES)
 
 
 def _places(block, part, outside: bool):
@@ -383,8 +388,9 @@ def _links(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
     )
     none = F.lit(0)
     places = F.when(F.col("origin"), F.transform(_numbers(parts), lambda p: _places(none, p, False))).otherwise(F.array(_places(none, part, False)))
-    wanted = cut(found.join(origins, "key", "left").select("doc_id", "text_hash", "key", "label", places.alias("places")), "near-wanted")
-    links = cut(_by_group(_weighed(docs, wanted), ["label", "block", "part"]).mapInArrow(_edges(_verified), EDGES), "near-links")
+    wanted = cut(found.join(origins, "key", "left").select("doc_id", "text_hash", "key", "label", "size", places.alias("places")), "near-wanted")
+    weighed = cut(_weighed(docs, wanted), "near-weighed")  # so that the texts move once only
+    links = cut(_compared(weighed, _verified), "near-links")
     large = found.where(F.col("size") > GROUP)
     if large.isEmpty():
         return links
@@ -396,9 +402,8 @@ def _links(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))
     inside = F.transform(_numbers(F.col("blocks")), lambda b: _places(b, part, False))
     outside = F.when(F.col("component") != F.col("main"), F.transform(_numbers(parts), lambda p: _places(block, p, True))).otherwise(F.array().cast(PLACE))
-    again = cut(split.join(main, "label").select("doc_id", "text_hash", "key", "label", F.concat(inside, outside).alias("places")), "near-again")
-    more = _by_group(_weighed(docs, again), ["label", "block", "part"]).mapInArrow(_edges(_crossed), EDGES)
-    return links.union(more)
+    again = cut(split.join(main, "label").select("key", "label", F.concat(inside, outside).alias("places")), "near-again")
+    return links.union(_compared(weighed.where(F.col("size") > GROUP).select("key", "hashes", "counts").join(again, "key"), _crossed))
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
