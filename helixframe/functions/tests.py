@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _once(value: Column, body) -> Column:
+def once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -43,7 +43,7 @@ def erfc(x: Column) -> Column:
 
 def chi_square_p(statistic: Column) -> Column:
     """Upper tail of chi-square with one degree of freedom; NaN stays NaN."""
-    return F.when(F.isnan(statistic), statistic).when(statistic == float("inf"), F.lit(0.0)).otherwise(_once(F.sqrt(F.greatest(statistic, F.lit(0.0)) / 2), erfc))
+    return F.when(F.isnan(statistic), statistic).when(statistic == float("inf"), F.lit(0.0)).otherwise(once(F.sqrt(F.greatest(statistic, F.lit(0.0)) / 2), erfc))
 
 
 def log_factorial(n: Column) -> Column:
@@ -71,9 +71,9 @@ def fisher(a: Column, b: Column, c: Column, d: Column, mode: str = TWO_SIDED) ->
         first, last = (low, t["a"]) if mode == LESS else (t["a"], high) if mode == GREATER else (low, high)
         if mode != TWO_SIDED:
             return F.least(F.lit(1.0), F.aggregate(F.transform(F.sequence(first, last), lambda x: F.exp(logp(x))), F.lit(0.0), lambda s, p: s + p))
-        return _once(logp(t["a"]), lambda seen: F.least(F.lit(1.0), F.aggregate(F.transform(F.sequence(first, last), logp), F.lit(0.0), lambda s, p: s + F.when(p <= seen + 1e-9, F.exp(p)).otherwise(0.0))))
+        return once(logp(t["a"]), lambda seen: F.least(F.lit(1.0), F.aggregate(F.transform(F.sequence(first, last), logp), F.lit(0.0), lambda s, p: s + F.when(p <= seen + 1e-9, F.exp(p)).otherwise(0.0))))
 
-    return _once(F.struct(*(x.cast("int").alias(k) for k, x in zip("abcd", (a, b, c, d), strict=True))), of)
+    return once(F.struct(*(x.cast("int").alias(k) for k, x in zip("abcd", (a, b, c, d), strict=True))), of)
 
 
 def hardy_weinberg(aa: Column, ab: Column, bb: Column) -> Column:
@@ -93,45 +93,49 @@ def hardy_weinberg(aa: Column, ab: Column, bb: Column) -> Column:
         def tails(seen: Column) -> Column:
             every = F.transform(F.sequence(rare % 2, rare, F.lit(2)), logp)
             top = F.array_max(every)
-            return _once(F.struct(every.alias("e"), top.alias("m")), lambda z: F.aggregate(z["e"], F.lit(0.0), lambda s, p: s + F.when(p <= seen + 1e-9, F.exp(p - z["m"])).otherwise(0.0)) / F.aggregate(z["e"], F.lit(0.0), lambda s, p: s + F.exp(p - z["m"])))
+            return once(F.struct(every.alias("e"), top.alias("m")), lambda z: F.aggregate(z["e"], F.lit(0.0), lambda s, p: s + F.when(p <= seen + 1e-9, F.exp(p - z["m"])).otherwise(0.0)) / F.aggregate(z["e"], F.lit(0.0), lambda s, p: s + F.exp(p - z["m"])))
 
-        return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), _once(logp(t["ab"]), tails)))
+        return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), once(logp(t["ab"]), tails)))
 
-    return _once(F.struct(*(x.cast("int").alias(k) for k, x in zip(("aa", "ab", "bb"), (aa, ab, bb), strict=True))), of)
+    return once(F.struct(*(x.cast("int").alias(k) for k, x in zip(("aa", "ab", "bb"), (aa, ab, bb), strict=True))), of)
 
 
 METHODS = ("bonferroni", "bh", "by", "hochberg", "holm")
 
 
-def adjust(df: DataFrame, p: str, method: str, out: str = "adjusted", ranges: int = 64) -> DataFrame:
+def adjust(df: DataFrame, p: str, method: str, out: str = "adjusted", ranges: int = 256) -> DataFrame:
     """Adds p-values corrected for multiple testing; null p-values stay null and do not count.
 
-    Ranks and running extremes go over all rows without one task seeing them: rows are dealt into ranges of
-    p by equal width, ranks and extremes run within a range, and one row for each range carries offsets.
+    Rows of equal p get equal corrections, so ranks and running extremes go over the distinct values with their
+    counts. Those are dealt into ranges by quantiles, ranks and extremes run within a range, and one row for each
+    range carries offsets: no task sees all values, and a value that many rows have is one row here.
     """
-    kept = df.withColumn("_adj_range", F.least(F.floor(F.col(p) * ranges), F.lit(ranges - 1)))
-    valid = kept.where(F.col(p).isNotNull())
-    inside = Window.partitionBy("_adj_range").orderBy(p)
-    ranked = valid.withColumn("_adj_in", F.row_number().over(inside))
-    sums = valid.groupBy("_adj_range").agg(F.count("*").alias("_adj_n"))
+    valid = df.where(F.col(p).isNotNull())
+    values = valid.groupBy(F.col(p).alias("_adj_p")).agg(F.count("*").alias("_adj_n"))
+    cuts = values.select(F.percentile_approx("_adj_p", [k / ranges for k in range(1, ranges)], 50 * ranges)).first()[0] or [0.0]
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("_adj_p")))
+    values = values.withColumn("_adj_range", at)
+    sums = values.groupBy("_adj_range").agg(F.sum("_adj_n").alias("_adj_s"))
     every = Window.orderBy("_adj_range")
-    sums = sums.withColumn("_adj_before", F.sum("_adj_n").over(every) - F.col("_adj_n")).withColumn("_adj_m", F.sum("_adj_n").over(Window.partitionBy(F.lit(1))))
-    rows = ranked.join(F.broadcast(sums.drop("_adj_n")), "_adj_range")  # one row for each range
-    rank, m = F.col("_adj_before") + F.col("_adj_in"), F.col("_adj_m").cast("double")
+    sums = sums.select("_adj_range", (F.sum("_adj_s").over(every) - F.col("_adj_s")).alias("_adj_before"), F.sum("_adj_s").over(Window.partitionBy(F.lit(1))).cast("double").alias("_adj_m"))
+    inside = Window.partitionBy("_adj_range").orderBy("_adj_p")
+    rows = values.withColumn("_adj_in", F.sum("_adj_n").over(inside)).join(F.broadcast(sums), "_adj_range")  # one row for each range
+    last = F.col("_adj_before") + F.col("_adj_in")  # the rank of the last of equal values
+    v, m = F.col("_adj_p"), F.col("_adj_m")
     if method == "bonferroni":
-        done = rows.withColumn(out, F.least(F.lit(1.0), F.col(p) * m))
+        done = rows.withColumn(out, F.least(F.lit(1.0), v * m))
     else:
         if method == "by":
             size = valid.count()
             harmonic = sum(1 / i for i in range(1, min(size, 100_000) + 1)) + (math.log(size / 100_000) + 0.5 / size - 0.5 / 100_000 if size > 100_000 else 0.0)
-        raw = {"bh": lambda: m / rank * F.col(p), "by": lambda: harmonic * m / rank * F.col(p), "hochberg": lambda: (m - rank + 1) * F.col(p), "holm": lambda: (m - rank + 1) * F.col(p)}[method]()
+        raw = {"bh": lambda: m / last * v, "by": lambda: harmonic * m / last * v, "hochberg": lambda: (m - last + 1) * v, "holm": lambda: (m - last + F.col("_adj_n")) * v}[method]()
         rows = rows.withColumn("_adj_raw", raw)
         up = method == "holm"  # Holm takes the largest so far, the others the smallest from here on
-        span = Window.partitionBy("_adj_range").orderBy("_adj_in").rowsBetween(*((Window.unboundedPreceding, 0) if up else (0, Window.unboundedFollowing)))
-        rows = rows.withColumn("_adj_own", (F.max if up else F.min)("_adj_raw").over(span))
-        edge = rows.groupBy("_adj_range").agg((F.max if up else F.min)("_adj_raw").alias("_adj_e"))
-        beyond = Window.orderBy("_adj_range").rowsBetween(*((Window.unboundedPreceding, -1) if up else (1, Window.unboundedFollowing)))
-        edge = edge.withColumn("_adj_o", (F.max if up else F.min)("_adj_e").over(beyond)).drop("_adj_e")
-        best = (F.greatest if up else F.least)("_adj_own", F.coalesce("_adj_o", "_adj_own"))
-        done = rows.join(F.broadcast(edge), "_adj_range").withColumn(out, F.least(F.lit(1.0), best))
-    return done.select(*df.columns, out).unionByName(kept.where(F.col(p).isNull()).select(*df.columns, F.lit(None).cast("double").alias(out)))
+        best, first = (F.max, F.greatest) if up else (F.min, F.least)
+        before, after = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+        rows = rows.withColumn("_adj_own", best("_adj_raw").over(inside.rowsBetween(*(before if up else after))))
+        beyond = every.rowsBetween(*((Window.unboundedPreceding, -1) if up else (1, Window.unboundedFollowing)))
+        edge = rows.groupBy("_adj_range").agg(best("_adj_raw").alias("_adj_e")).select("_adj_range", best("_adj_e").over(beyond).alias("_adj_o"))
+        done = rows.join(F.broadcast(edge), "_adj_range").withColumn(out, F.least(F.lit(1.0), first("_adj_own", F.coalesce("_adj_o", "_adj_own"))))
+    done = done.select("_adj_p", out)
+    return df.join(done, F.col(p) == F.col("_adj_p"), "left").select(*[F.col(f"`{c}`") for c in df.columns], out)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from ..functions.tests import once
 from ..metadata import Study, metadata_of
 
 BATCH = 2048
@@ -112,34 +113,36 @@ def expected_sharing(df: DataFrame, samples: list[str] | None = None, study: str
 
 
 def ibd(df: DataFrame, samples: list[str] | None = None, study: str = "", skip_reference: bool = False, skip_multi_allelic: bool = True) -> DataFrame:
-    """ibs() with IBD [z0, z1, z2] by the method of moments, bounded to probabilities, and PI_HAT."""
+    """ibs() with IBD [z0, z1, z2] by the method of moments, bounded to probabilities, and PI_HAT.
+
+    Each step is a lambda variable, so that no step's expression is repeated in the next one's.
+    """
     pairs = ibs(df, samples, study, skip_reference, skip_multi_allelic)
     rows = pairs.crossJoin(expected_sharing(df, samples, study))  # one row
-    s = F.col("variants")
-    count = lambda k: F.get("counts", F.lit(k))
-    rows = rows.withColumn("_z0", F.try_divide(count(0), F.col("E00") * s))
-    rows = rows.withColumn("_z1", F.try_divide(count(1) - F.col("_z0") * F.col("E01") * s, F.col("E11") * s))
-    rows = rows.withColumn("_z2", F.try_divide(count(2) - F.col("_z0") * F.col("E02") * s - F.col("_z1") * F.col("E12") * s, s))
-    z = F.array("_z0", "_z1", "_z2")
     one = lambda k: F.array(*(F.lit(1.0 if i == k else 0.0) for i in range(3)))
 
-    def drop(k: int):
-        def of(v: Column) -> Column:
-            i, j = (x for x in range(3) if x != k)
-            rest = F.get(v, F.lit(i)) + F.get(v, F.lit(j))
-            parts = [F.lit(0.0) if x == k else F.try_divide(F.get(v, F.lit(x)), rest) for x in range(3)]
-            return F.when(F.get(v, F.lit(k)) < 0, F.array(*parts)).otherwise(v)
-
-        return of
-
-    def bounded(v: Column) -> Column:
-        for k in range(3):
-            v = F.get(F.transform(F.array(v), drop(k)), F.lit(0))
-        return v
-
-    value = F.when(F.col("_z0") > 1, one(0)).when(F.col("_z1") > 1, one(1)).when(F.col("_z2") > 1, one(2)).otherwise(bounded(z))
-    rows = rows.withColumn("IBD", value)
-    return rows.withColumn("PI_HAT", F.get("IBD", F.lit(1)) / 2 + F.get("IBD", F.lit(2))).select(*pairs.columns, "IBD", "PI_HAT")
+    def without(k: int, v: Column) -> Column:
+        """A negative share becomes 0 and the other two add up to 1."""
+        i, j = (x for x in range(3) if x != k)
+        rest = F.get(v, F.lit(i)) + F.get(v, F.lit(j))
+        parts = [F.lit(0.0) if x == k else F.try_divide(F.get(v, F.lit(x)), rest) for x in range(3)]
+        return F.when(F.get(v, F.lit(k)) < 0, F.array(*parts)).otherwise(v)
+
+    def moments(r: Column) -> Column:
+        s = r["variants"]
+        count = lambda k: F.get(r["counts"], F.lit(k))
+        z2 = lambda z0, z1: F.try_divide(count(2) - z0 * r["E02"] * s - z1 * r["E12"] * s, s)
+        z1 = lambda z0: once(F.try_divide(count(1) - z0 * r["E01"] * s, r["E11"] * s), lambda z: F.array(z0, z, z2(z0, z)))
+        return once(F.try_divide(count(0), r["E00"] * s), z1)
+
+    def bounded(z: Column) -> Column:
+        kept = once(once(without(0, z), lambda v: without(1, v)), lambda v: without(2, v))
+        over = [F.get(z, F.lit(k)) > 1 for k in range(3)]
+        return F.when(over[0], one(0)).when(over[1], one(1)).when(over[2], one(2)).otherwise(kept)
+
+    found = once(once(F.struct("counts", "variants", "E00", "E01", "E02", "E11", "E12"), moments), bounded)
+    both = once(found, lambda z: F.struct(z.alias("IBD"), (F.get(z, F.lit(1)) / 2 + F.get(z, F.lit(2))).alias("PI_HAT")))
+    return rows.withColumn("_ibd", both).select(*pairs.columns, "_ibd.IBD", "_ibd.PI_HAT")
 
 
 def pca(df: DataFrame, study: str = "", k: int = 2) -> DataFrame:

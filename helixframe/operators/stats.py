@@ -190,13 +190,16 @@ def _region(text: str) -> tuple[str, int, int]:
     return chromosome, int(a), int(b)
 
 
-def impute_sex(df: DataFrame, study: str = "", lower: float = 0.2, upper: float = 0.8, chromosome_x: str = "X", include_pseudoautosomal: bool = False, par1: str = "X:60001-2699520", par2: str = "X:154931044-155260560", **options) -> DataFrame:
+def impute_sex(
+    df: DataFrame, study: str = "", lower: float = 0.2, upper: float = 0.8, chromosome_x: str = "X", include_pseudoautosomal: bool = False, par1: str = "X:60001-2699520", par2: str = "X:154931044-155260560",
+    missing_as_hom_ref: bool = False, include_multi_allelic: bool = False, maf_threshold: float = 0.0, step: int = -1,
+) -> DataFrame:
     """Inbreeding on chromosome X (outside the pseudo-autosomal regions) and the sex that F suggests."""
     kept = F.col("chromosome") == chromosome_x
     if not include_pseudoautosomal:
         (_, a1, b1), (_, a2, b2) = _region(par1), _region(par2)
         kept = kept & ((F.col("start") < a1) | F.col("start").between(b1, a2) | (F.col("start") > b2))
-    found = inbreeding(df.where(kept), study, **options)
+    found = inbreeding(df.where(kept), study, missing_as_hom_ref, include_multi_allelic, maf_threshold, step)
     return found.withColumn("ImputedSex", F.when(F.col("F") < lower, "FEMALE").when(F.col("F") > upper, "MALE").otherwise("UNDETERMINED"))
 
 

@@ -537,7 +537,23 @@ def _(df):
     return pairwise.expected_sharing(df).select(r6("E00", "e00"), r6("E11", "e11"))
 
 
-@query("ibd")
+_E = {
+    "e00": "2 * p * p * q * q * ((x - 1) / x) * ((y - 1) / y) * n3", "e01": "4 * p * p * p * q * ((x - 1) / x) * ((x - 2) / x) * n3 + 4 * p * q * q * q * ((y - 1) / y) * ((y - 2) / y) * n3",
+    "e02": "(p * p * p * p * ((x - 1) / x) * ((x - 2) / x) * ((x - 3) / x) + q * q * q * q * ((y - 1) / y) * ((y - 2) / y) * ((y - 3) / y) + 4 * p * p * q * q * ((x - 1) / x) * ((y - 1) / y)) * n3",
+    "e11": "(2 * p * p * q * ((x - 1) / x) + 2 * p * q * q * ((y - 1) / y)) * n2", "e12": "(p * p * p * ((x - 1) / x) + q * q * q * ((y - 1) / y) + p * p * q * ((x - 1) / x) + p * q * q * ((y - 1) / y)) * n2",
+}
+#: Negative shares become 0 in turn, the other two are scaled to a sum of 1.
+_WITHOUT = "SELECT one, two, CASE WHEN z{k} < 0 THEN {v0} ELSE z0 END AS z0, CASE WHEN z{k} < 0 THEN {v1} ELSE z1 END AS z1, CASE WHEN z{k} < 0 THEN {v2} ELSE z2 END AS z2, over FROM {t}"
+_BOUND = [_WITHOUT.format(k=k, t=f"b{k}", **{f"v{i}": "0" if i == k else f"z{i} / nullif(z{(3 - k - i) % 3} + z{i}, 0)" for i in range(3)}) for k in range(3)]
+
+
+@query("ibd", f""", c AS (SELECT id, 2.0::DOUBLE * count(d) AS n, sum(d)::DOUBLE AS y FROM l GROUP BY id), w AS (SELECT n, n - y AS x, y, (n - y) / n AS p, y / n AS q, n * n * n / ((n - 1) * (n - 2) * (n - 3)) AS n3, n * n / ((n - 1) * (n - 2)) AS n2 FROM c WHERE n > 3 AND y > 0 AND y < n),
+  e AS (SELECT {", ".join(f"avg({v}) AS {k}" for k, v in _E.items())} FROM w), s AS ({_ibs()}),
+  z AS (SELECT one, two, s0, s1, s2, s0 + s1 + s2 AS t, s0 / (e00 * (s0 + s1 + s2)) AS z0, e01, e02, e11, e12 FROM s, e), y AS (SELECT *, (s1 - z0 * e01 * t) / (e11 * t) AS z1 FROM z),
+  a AS (SELECT one, two, z0, z1, (s2 - z0 * e02 * t - z1 * e12 * t) / t AS z2 FROM y), b0 AS (SELECT *, CASE WHEN z0 > 1 THEN 0 WHEN z1 > 1 THEN 1 WHEN z2 > 1 THEN 2 END AS over FROM a),
+  b1 AS ({_BOUND[0]}), b2 AS ({_BOUND[1]}), b3 AS ({_BOUND[2]}),
+  f AS (SELECT one, two, CASE WHEN over IS NULL THEN [z0, z1, z2] ELSE [(over = 0)::INTEGER::DOUBLE, (over = 1)::INTEGER::DOUBLE, (over = 2)::INTEGER::DOUBLE] END AS z FROM b3)
+  SELECT one, two, list_transform(z, lambda x: round(x, 6)) AS ibd, round(z[2] / 2 + z[3], 6) AS pi_hat FROM f""")
 def _(df):
     return pairwise.ibd(df).select(F.col("samplePair")[0].alias("one"), F.col("samplePair")[1].alias("two"), F.transform("IBD", lambda x: F.round(x, 6)).alias("ibd"), r6("PI_HAT", "pi_hat"))
 
@@ -554,6 +570,6 @@ def _(df):
     return pairwise.cmc(df, "biotype", cases=CASES, controls=CONTROLS)
 
 
-@query("ped_lines")
+@query("ped_lines", "SELECT line FROM (SELECT CASE WHEN s < 4 THEN 'F1' ELSE 'F' || s END || chr(9) || 'S' || lpad(s::VARCHAR, 2, '0') || chr(9) || CASE WHEN s IN (2, 3) THEN 'S00' ELSE '0' END || chr(9) || CASE WHEN s IN (2, 3) THEN 'S01' ELSE '0' END || chr(9) || CASE WHEN s % 2 = 0 THEN '1' ELSE '2' END || chr(9) || CASE WHEN s IN (0, 1, 3) THEN 'P0' WHEN s < 8 THEN 'P1' ELSE 'P2' END AS line FROM range(17) t(s))")
 def _(df):
     return df.sparkSession.createDataFrame([(x,) for x in IO.ped(df)], "line string")
