@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tests import once
+
 HOM_REF, HET, HOM_VAR = ("0/0", "0|0"), ("0/1", "1/0", "0|1", "1|0"), ("1/1", "1|1")
 
 
@@ -69,7 +71,8 @@ def genotypes(studies: Column, study: str, indexes: list[int] | None = None) ->
     data = study_of(studies, study)["samplesData"]
     if indexes is None:
         return F.transform(data, lambda x: F.get(x, F.lit(0)))
-    return F.transform(F.array(*map(F.lit, indexes)), lambda i: F.get(F.get(data, i), F.lit(0)))
+    # the study is looked up once for each variant, not for each sample
+    return once(data, lambda d: F.transform(F.array(*map(F.lit, indexes)), lambda i: F.get(F.get(d, i), F.lit(0))))
 
 
 def allele_table(gts: Column) -> Column:

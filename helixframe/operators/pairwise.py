@@ -26,7 +26,8 @@ def _genotype_rows(df: DataFrame, study: Study, indexes: list[int]) -> DataFrame
 
     def code(gt: Column) -> Column:
         clean = F.coalesce(gt, F.lit("./."))
-        return F.when(F.size(G.alleles(clean)) != 2, -3).when(G.is_missing(clean), -1).when(G.multi_allelic(clean), -2).otherwise(F.coalesce(G.dosage(clean), F.lit(-1))).cast("byte")
+        dose = G.dosage(clean)  # settles all plain genotypes before any text is split
+        return F.when(dose.isNotNull(), dose).when(F.size(G.alleles(clean)) != 2, -3).when(G.is_missing(clean), -1).when(G.multi_allelic(clean), -2).otherwise(-1).cast("byte")
 
     return df.select(F.transform(G.genotypes(F.col("studies"), study.id, indexes), code).alias("g"), F.transform(G.genotypes(F.col("studies"), study.id, indexes), lambda x: F.coalesce(x, F.lit("./."))).alias("gt"))
 
@@ -96,10 +97,12 @@ def expected_sharing(df: DataFrame, samples: list[str] | None = None, study: str
     """One row: mean probabilities E00, E01, E02, E11, E12, E22 of sharing given descent, with finite-sample corrections."""
     chosen = metadata_of(df).first(study)
     rows = _genotype_rows(df, chosen, chosen.indexes(samples or chosen.samples))
-    called = F.filter("g", lambda x: x >= 0)
-    base = rows.select((2.0 * F.size(called)).alias("N"), F.aggregate(called, F.lit(0.0), lambda a, x: a + x).alias("y"))
-    base = base.where("N > 3").select("N", (F.col("N") - F.col("y")).alias("x"), "y").where("x > 0 AND y > 0")
-    p, q, x, y, n = F.col("x") / F.col("N"), F.col("y") / F.col("N"), F.col("x"), F.col("y"), F.col("N")
+    counted = once(F.filter("g", lambda x: x >= 0), lambda c: F.struct((2.0 * F.size(c)).alias("n"), F.aggregate(c, F.lit(0.0), lambda a, x: a + x).alias("y")))
+    # equal genotype counts have equal terms: the formulas run once for each, not for each variant
+    base = rows.select(counted.alias("c")).groupBy("c.n", "c.y").agg(F.count("*").alias("times"))
+    base = base.where("n > 3").select("n", "y", "times", (F.col("n") - F.col("y")).alias("x")).where("x > 0 AND y > 0")
+    n, x, y, times = (F.col(k) for k in ("n", "x", "y", "times"))
+    p, q = x / n, y / n
     n3 = n * n * n / ((n - 1) * (n - 2) * (n - 3))
     n2 = n * n / ((n - 1) * (n - 2))
     e = {
@@ -107,9 +110,9 @@ def expected_sharing(df: DataFrame, samples: list[str] | None = None, study: str
         "E01": 4 * p * p * p * q * ((x - 1) / x) * ((x - 2) / x) * n3 + 4 * p * q * q * q * ((y - 1) / y) * ((y - 2) / y) * n3,
         "E02": (p * p * p * p * ((x - 1) / x) * ((x - 2) / x) * ((x - 3) / x) + q * q * q * q * ((y - 1) / y) * ((y - 2) / y) * ((y - 3) / y) + 4 * p * p * q * q * ((x - 1) / x) * ((y - 1) / y)) * n3,
         "E11": 2 * p * p * q * ((x - 1) / x) * n2 + 2 * p * q * q * ((y - 1) / y) * n2,
-        "E12": (p * p * p * ((x - 1) / x) * ((x - 2) / x) + q * q * q * ((y - 1) / y) * ((y - 2) / y) + p * p * q * ((x - 1) / x) + p * q * q * ((y - 1) / y)) * n2,
+        "E12": (p * p * p * ((x - 1) / x) + q * q * q * ((y - 1) / y) + p * p * q * ((x - 1) / x) + p * q * q * ((y - 1) / y)) * n2,
     }
-    return base.agg(*(F.avg(v).alias(k) for k, v in e.items()))
+    return base.agg(*(F.try_divide(F.sum(v * times), F.sum(times)).alias(k) for k, v in e.items()))
 
 
 def ibd(df: DataFrame, samples: list[str] | None = None, study: str = "", skip_reference: bool = False, skip_multi_allelic: bool = True) -> DataFrame:

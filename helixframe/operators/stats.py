@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import HelixError
 from ..functions import genotype as G
 from ..functions import variant as V
+from ..functions.tests import once
 from ..metadata import attach, metadata_of
 
 
@@ -135,9 +136,14 @@ def sample_stats(df: DataFrame, samples: list[str] | None = None, study: str = "
     here = G.study_of(F.col("studies"), chosen.id)
     files = here["files"] if file_id is None else F.filter(here["files"], lambda f: f["fileId"] == file_id)
     first_file = F.get(files, F.lit(0))
-    gt_of = lambda i: F.get(F.get(here["samplesData"], F.lit(i)), F.lit(0)) if i is not None else F.lit(None).cast("string")
     position = lambda name: known.index(name) if name in known else None
-    per = F.array(*(F.struct(F.lit(n).alias("sample"), gt_of(i).alias("gt"), gt_of(position(chosen.members[i].father)).alias("father"), gt_of(position(chosen.members[i].mother)).alias("mother"), F.lit(chosen.members[i].sex.upper() == "MALE").alias("male")) for n, i in zip(names, indexes, strict=True)))
+
+    def of_samples(data: Column) -> Column:
+        gt_of = lambda i: F.get(F.get(data, F.lit(i)), F.lit(0)) if i is not None else F.lit(None).cast("string")
+        members = [(n, i, chosen.members[i]) for n, i in zip(names, indexes, strict=True)]
+        return F.array(*(F.struct(F.lit(n).alias("sample"), gt_of(i).alias("gt"), gt_of(position(m.father)).alias("father"), gt_of(position(m.mother)).alias("mother"), F.lit(m.sex.upper() == "MALE").alias("male")) for n, i, m in members))
+
+    per = once(here["samplesData"], of_samples)
     long = df.select(
         "chromosome", "type", "length", "reference", "alternate", V.biotypes("annotation").alias("biotypes"), V.consequence_types("annotation").alias("terms"),
         (F.try_element_at(first_file["attributes"], F.lit("FILTER")) == "PASS").alias("pass"), F.try_element_at(first_file["attributes"], F.lit("QUAL")).try_cast("double").alias("qual"), F.inline(per),
@@ -168,8 +174,8 @@ def inbreeding(df: DataFrame, study: str = "", missing_as_hom_ref: bool = False,
     """
     chosen = metadata_of(df).first(study)
     here = G.study_of(F.col("studies"), chosen.id)
-    stats = F.try_element_at(here["stats"], F.lit("ALL"))
-    maf = F.least(stats["refAlleleFreq"], stats["altAlleleFreq"]).cast("double")
+    # one lambda variable: where the statistics are an expression still, it is computed once
+    maf = once(F.try_element_at(here["stats"], F.lit("ALL")), lambda s: F.least(s["refAlleleFreq"], s["altAlleleFreq"]).cast("double"))
     names = F.array(*map(F.lit, chosen.samples))
     by = [F.col("chromosome"), (F.floor(F.col("start") / step) * step).cast("int").alias("start")] if step > 0 else []
     long = df.select(*by, maf.alias("maf"), F.posexplode(F.transform(here["samplesData"], lambda x: F.get(x, F.lit(0)))).alias("i", "gt")).where(F.col("maf") > maf_threshold)
