@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Pre-tokens kept per Python worker; beyond it the store starts afresh (a matter of memory only).
 _KEEP = 400_000
+#: Unknown pre-tokens that are encoded at once, and characters of text whose unknown ones are looked up together.
+_AT_ONCE, _BLOCK = 4096, 1_000_000
 
 
 class _Ids(dict):
@@ -52,6 +54,7 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.ends: np.ndarray | None = None
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
 
     def __missing__(self, token: str) -> bytes:
@@ -63,24 +66,63 @@ class _Ids(dict):
     def exact(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, tokens: list[str]) -> None:
+        """Stores pre-tokens by encoding many at once, with blanks between: the ids of word ends divide the result."""
+        if self.ends is None:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for piece, number in self.tokenizer.get_vocab().items():
+                self.ends[number] = piece.endswith("</w>")
+        for start in range(0, len(tokens), _AT_ONCE):
+            part = tokens[start : start + _AT_ONCE]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            found = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
+            if len(found) == len(part):  # else they are encoded one by one when they are asked for
+                self.update(zip(part, (x.tobytes() for x in found), strict=True))
+
 
 _stores: dict[str, _Ids] = {}
 
 
+def _store(name: str) -> _Ids:
+    store = _stores.get(name)
+    if store is None:
+        store = _stores[name] = _Ids(name)
+    return store
+
+
+def _split(text: str) -> list[str] | None:
+    """Pre-tokens of plain Latin text; None for other text and where a special token's string might stand."""
+    return None if "<|" in text or not _PLAIN.fullmatch(text) else _SPLIT.findall(text.lower())
+
+
 def ids_bytes(text: str | None, name: str = TOKENIZER) -> bytes:
     """A text's ids as little-endian unsigned 32-bit bytes, exactly those of the tokenizer.
 
     Plain Latin text goes pre-token by pre-token through a store of known ones; all other text, and text that
     might hold a special token's string, goes through the tokenizer as a whole.
     """
-    store = _stores.get(name)
-    if store is None:
-        store = _stores[name] = _Ids(name)
-    if not text:
-        return b""
-    if "<|" in text or not _PLAIN.fullmatch(text):
-        return store.exact(text)
-    return b"".join(map(store.__getitem__, _SPLIT.findall(text.lower())))
+    return next(all_ids_bytes([text], name))
+
+
+def all_ids_bytes(texts: Iterable[str | None], name: str = TOKENIZER) -> Iterator[bytes]:
+    """ids_bytes() of each text; unknown pre-tokens of neighbouring texts are learnt together."""
+    store = _store(name)
+
+    def done(held: list[tuple[str, list[str] | None]]) -> Iterator[bytes]:
+        if len(store) >= _KEEP:
+            store.clear()
+        store.learn(list(set().union(*(tokens for _, tokens in held if tokens)).difference(store)))
+        for text, tokens in held:
+            yield store.exact(text) if tokens is None else b"".join(map(store.__getitem__, tokens))
+
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "", _split(text or "")))
+        size += len(text or "")
+        if size > _BLOCK:
+            yield from done(held)
+            held, size = [], 0
+    yield from done(held)
 
 
 def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -92,9 +134,9 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER) ->
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k, doc in enumerate(ids):
-                data = ids_bytes(texts[k].as_py(), tokenizer) + END.to_bytes(4, "little")
+            texts = (t.as_py() for t in batch.column(1))
+            for doc, found in zip(batch.column(0).to_pylist(), all_ids_bytes(texts, tokenizer), strict=True):
+                data = found + END.to_bytes(4, "little")
                 n = len(data) // 4
                 for piece, start in enumerate(range(0, n, size)):
                     part = data[4 * start : 4 * (start + size)]

@@ -338,8 +338,12 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    for x in texts:
-        assert list(np.frombuffer(packing.ids_bytes(x), "<u4")) == t.encode(x, add_special_tokens=False).ids, x
+    texts += [" ".join(f"{a}{b}" for a in ("it's", "''ll", "é9", "x_", "ß", "--", "42abc", "'d") for b in ("", "q", "?!", "7"))]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for x, ids in zip(texts, want, strict=True):
+        assert list(np.frombuffer(packing.ids_bytes(x), "<u4")) == ids, x
+    packing._stores.clear()  # all at once, with nothing known
+    assert [list(np.frombuffer(x, "<u4")) for x in packing.all_ids_bytes(texts)] == want
 
 
 def best_bins(lengths, size):
