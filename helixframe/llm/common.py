@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterable
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,5 +71,37 @@ def crc32_fold(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def best_disjoint(best: Callable[[int, int], tuple[float, int] | None], starts: Iterable[int], end: int, taken: Iterable[tuple[int, int]] = ()) -> list[tuple[float, int, int]]:
+    """Disjoint windows (value, start, end) outside the taken ones, highest value first.
+
+    best(start, limit) gives the value and end of the best window from start that ends at limit or before, or None.
+    Each possible window is given or overlaps one that is taken or has at least its value.
+    """
+    held = sorted(taken)
+
+    def window(start: int) -> tuple[float, int, int] | None:
+        at = bisect_right(held, (start, float("inf")))
+        if at and held[at - 1][1] > start:
+            return None
+        found = best(start, held[at][0] if at < len(held) else end)
+        return found and (-found[0], start, found[1])
+
+    heap = [w for s in starts if (w := window(s))]
+    heapify(heap)
+    out = []
+    while heap:
+        value, start, stop = heappop(heap)
+        at = bisect_right(held, (start, float("inf")))
+        if at and held[at - 1][1] > start:
+            continue
+        if at < len(held) and held[at][0] < stop:
+            if shorter := window(start):
+                heappush(heap, shorter)
+            continue
+        insort(held, (start, stop))
+        out.append((-value, start, stop))
+    return out
+
+
 def sql_quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

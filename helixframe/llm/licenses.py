@@ -1,24 +1,31 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 A document is compared as a whole, paragraph by paragraph and line by line; a template whose number of bigrams
-rules out the wanted coefficient is never compared.
+rules out the wanted coefficient is never compared. Where none of these units matches a template, any run of words
+may: each template's best disjoint windows are reported as passages, so that a notice is found over several
+paragraphs, amid code or prose, or within a line. A window that reaches the coefficient is reported or overlaps
+a match of the same template.
 
 Contract: null and empty texts match nothing; texts of one word have no bigram and match nothing; several templates
-may match one span, each is reported and the best of a span marked (all of them on a tie); repeated rows are reported each; an empty table gives
+may match one span, each is reported and the best of a span marked (all of them on a tie); a passage is best if no
+match that shares over half of the longer span has a higher coefficient; repeated rows are reported each; an empty table gives
 an empty result; columns other than doc_id and text are never read. start and end are code points.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import best_disjoint, ship, table
 
 LEAST = 0.8
 
@@ -73,9 +80,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
+def _lower(text: str) -> str:
+    return text.lower().replace("licence", "license")
+
+
 def normalise(text: str) -> list[str]:
     """Words in lower case without punctuation; comment marks and quotes fall away, version numbers stay whole."""
-    return _WORD.findall(text.lower().replace("licence", "license"))
+    return _WORD.findall(_lower(text))
+
+
+def word_spans(text: str) -> tuple[list[int], list[int]]:
+    """Where each word of normalise() starts and ends in the text."""
+    spans = [m.span() for m in _WORD.finditer(_lower(text))]
+    # the only character that is longer in lower case (by one)
+    longer = [i + k for k, i in enumerate(i for i, c in enumerate(text) if c == "\u0130")] if "\u0130" in text else []
+    return [a - bisect_left(longer, a) for a, _ in spans], [b - bisect_left(longer, b - 1) for _, b in spans]
 
 
 def bigrams(words: list[str]) -> Counter:
@@ -97,6 +116,14 @@ class Scanner:
         self.largest = max((n for n, *_ in self.templates), default=-1)
         #: Dice d needs sizes whose ratio is at least d / (2 - d).
         self.ratio = least / (2 - least)
+        #: Bigram to the templates that hold it; bigrams a match has in common with a template at least, and has at most.
+        holders = defaultdict(list)
+        for t, (_, _, _, b) in enumerate(self.templates):
+            for g in b:
+                holders[g].append(t)
+        self.holders = dict(holders)
+        self.needed = [max(1, math.ceil(n * self.ratio - 1e-9)) for n, *_ in self.templates]
+        self.most = [math.floor(n / self.ratio + 1e-9) for n, *_ in self.templates]
 
     def unit(self, words: list[str]) -> list[tuple[str, int, float]]:
         """(licence, template number, coefficient) of all templates that match these words."""
@@ -113,10 +140,70 @@ class Scanner:
                 found.append((name, k, d))
         return found
 
+    def near(self, pairs: list[tuple[str, str]]) -> dict[int, list[int]]:
+        """Template to the positions of its bigrams, where these bigrams could hold a match of it."""
+        at = [i for i, g in enumerate(pairs) if g in self.holders]
+        if len(at) < min(self.needed, default=1):
+            return {}
+        counts, common, places = Counter(pairs[i] for i in at), Counter(), defaultdict(list)
+        for g, n in counts.items():
+            for t in self.holders[g]:
+                common[t] += min(n, self.templates[t][3][g])
+        possible = {t for t, n in common.items() if n >= self.needed[t]}
+        if possible:
+            for i in at:
+                for t in self.holders[pairs[i]]:
+                    if t in possible:
+                        places[t].append(i)
+        return {t: p for t, p in places.items() if any(b - a < self.most[t] for a, b in zip(p, p[self.needed[t] - 1 :], strict=False))}
+
+    def windows(self, t: int, pairs: list[tuple[str, str]], places: list[int], taken: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+        """Disjoint windows (coefficient, first word, word after the last) that match template t outside the taken ones."""
+        size, _, _, b = self.templates[t]
+        p, most, needed = np.asarray(places), self.most[t], self.needed[t]
+        # a bigram counts in windows that start after its occurrence as many places back as the template has it
+        since, seen = np.empty(len(p), np.int64), defaultdict(list)
+        for j, i in enumerate(places):
+            own = seen[pairs[i]]
+            since[j] = own[-b[pairs[i]]] if len(own) >= b[pairs[i]] else -1
+            own.append(i)
+
+        def best(start: int, limit: int) -> tuple[float, int] | None:
+            first, last = np.searchsorted(p, (start, min(limit - 1, start + most)))
+            if last - first < needed:
+                return None
+            d = 2 * np.cumsum(since[first:last] < start) / (p[first:last] - start + 1 + size)
+            k = int(d.argmax())
+            return (float(d[k]), int(p[first + k]) + 2) if d[k] >= self.least else None
+
+        starts = p[: len(p) - needed + 1]
+        return best_disjoint(best, starts[p[needed - 1 :] - starts < most].tolist(), len(pairs) + 1, taken)
+
+    def passages(self, text: str, pairs: list[tuple[str, str]], near: dict[int, list[int]], found: list[dict]) -> list[dict]:
+        """Matches of windows that overlap no unit which matches the same template."""
+        starts, ends = word_spans(text)
+        out = []
+        for t, places in sorted(near.items()):
+            _, name, k, _ = self.templates[t]
+            taken = [(bisect_right(ends, m["start"]), bisect_left(starts, m["end"])) for m in found if (m["license"], m["template"]) == (name, k)]
+            for d, a, b in self.windows(t, pairs, places, taken):
+                out.append({"unit": "passage", "start": starts[a], "end": ends[b - 1], "license": name, "template": k, "dice": d, "best": True})
+        for m in out:
+            for o in (*found, *out):
+                shared = min(m["end"], o["end"]) - max(m["start"], o["start"])
+                if o["dice"] > m["dice"] and 2 * shared > max(m["end"] - m["start"], o["end"] - o["start"]):
+                    m["best"] = False
+        return sorted(out, key=lambda m: (m["start"], m["end"]))
+
     def scan(self, text: str | None) -> list[dict]:
-        """All matches of the whole text, its paragraphs and its lines; equal spans are reported once."""
+        """All matches of the whole text, its paragraphs and its lines, then of passages; equal spans are reported once."""
         if not text:
             return []
+        words = normalise(text)
+        pairs = list(zip(words, words[1:], strict=False))
+        near = self.near(pairs)
+        if not near:
+            return []
         spans = [("document", 0, len(text))]
         at = 0
         for part in re.split(r"(\n[ \t\r]*\n\s*)", text):
@@ -137,7 +224,7 @@ class Scanner:
             top = max((d for _, _, d in found), default=0.0)
             for name, k, d in found:
                 out.append({"unit": kind, "start": start, "end": end, "license": name, "template": k, "dice": d, "best": d == top})
-        return out
+        return out + self.passages(text, pairs, near, out)
 
 
 FOUND = "doc_id long, unit string, start int, end int, license string, template int, dice double, best boolean"

@@ -330,6 +330,35 @@ def test_licences_by_brute_force(spark):
     assert got == want and want
 
 
+def test_notices_over_paragraphs_and_within_lines():
+    mit, gpl = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][1]
+    above, software = mit.index("The above"), mit.index("THE SOFTWARE IS")
+    layout = f"{mit[:above]}\n\n{mit[above:software]}\n\n{mit[software:]}"
+    useful = gpl.index("This program is distributed")
+    header = "\n\n".join("# " + part.replace(", ", "\n# ") for part in (gpl[:useful], gpl[useful:]))
+    code = "\u0130 def f(x):\n    return x  # some code\n\n" * 30
+    sentence = "İstanbul notes, long ago. This work is licensed under a Creative Commons Attribution 4.0 International License. More words follow on the same line."
+    for name, k, notice, text in (("MIT", 2, layout, f"Copyright (c) 2020 A\n\n{layout}\n\n{code}"), ("GPL-3.0", 1, header[2:], f"{code}{header}\n\n{code}"), ("CC-BY-4.0", 1, "This work is licensed under a Creative Commons Attribution 4.0 International License", sentence)):
+        best = [m for m in licenses.Scanner().scan(text) if m["best"]]
+        assert [(m["unit"], m["license"], m["template"]) for m in best] == [("passage", name, k)] and best[0]["dice"] > 0.99
+        assert text[best[0]["start"] : best[0]["end"]] == notice.rstrip(".")
+    assert len([m for m in licenses.Scanner().scan(f"{code}{layout}\n\n{code}{layout}\n{code}") if m["best"]]) == 2
+
+
+def test_licence_windows_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        template = rng.choices("abcd", k=rng.randint(3, 7))
+        words = rng.choices("abcdef", k=rng.randint(0, 40))
+        scanner = licenses.Scanner({"x": (" ".join(template),)})
+        pairs = list(zip(words, words[1:], strict=False))
+        found = {(round(d, 9), a, b) for t, p in scanner.near(pairs).items() for d, a, b in scanner.windows(t, pairs, p, [])}
+        every = {(round(licenses.dice(licenses.bigrams(words[a:b]), licenses.bigrams(template)), 9), a, b) for a in range(len(words)) for b in range(a + 2, len(words) + 1)}
+        every = {w for w in every if w[0] >= 0.8}
+        assert found <= every and all(any(f[0] >= d and f[1] < b and a < f[2] for f in found) for d, a, b in every)
+        assert all(f == g or f[2] <= g[1] or g[2] <= f[1] for f in found for g in found)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 def test_ids_equal_the_tokenizer():
