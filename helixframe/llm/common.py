@@ -77,7 +77,12 @@ def best_disjoint(best: Callable[[int, int], tuple[float, int] | None], starts:
     best(start, limit) gives the value and end of the best window from start that ends at limit or before, or None.
     Each possible window is given or overlaps one that is taken or has at least its value.
     """
-    held = sorted(taken)
+    held: list[tuple[int, int]] = []
+    for start, stop in sorted(taken):
+        if held and start <= held[-1][1]:
+            held[-1] = (held[-1][0], max(stop, held[-1][1]))
+        else:
+            held.append((start, stop))
 
     def window(start: int) -> tuple[float, int, int] | None:
         at = bisect_right(held, (start, float("inf")))

@@ -1,8 +1,8 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 A document is compared as a whole, paragraph by paragraph and line by line; a template whose number of bigrams
-rules out the wanted coefficient is never compared. Where none of these units matches a template, any run of words
-may: each template's best disjoint windows are reported as passages, so that a notice is found over several
+rules out the wanted coefficient is never compared. Where none of these units matches a template, or
+only part of the match, any run of words may: each template's best disjoint windows are reported as passages, so that a notice is found over several
 paragraphs, amid code or prose, or within a line. A window that reaches the coefficient is reported or overlaps
 a match of the same template.
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import best_disjoint, ship, table
+from .license_texts import TEXTS
 
 LEAST = 0.8
 
@@ -77,6 +78,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",),
 }
 
+#: The complete texts come after the notices.
+TEMPLATES |= {name: (*TEMPLATES.get(name, ()), text) for name, text in TEXTS.items()}
+
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -180,13 +184,17 @@ class Scanner:
         return best_disjoint(best, starts[p[needed - 1 :] - starts < most].tolist(), len(pairs) + 1, taken)
 
     def passages(self, text: str, pairs: list[tuple[str, str]], near: dict[int, list[int]], found: list[dict]) -> list[dict]:
-        """Matches of windows that overlap no unit which matches the same template."""
+        """Matches of windows that overlap no unit which matches the same template, or are better and hold over half of it and more."""
         starts, ends = word_spans(text)
         out = []
         for t, places in sorted(near.items()):
             _, name, k, _ = self.templates[t]
-            taken = [(bisect_right(ends, m["start"]), bisect_left(starts, m["end"])) for m in found if (m["license"], m["template"]) == (name, k)]
-            for d, a, b in self.windows(t, pairs, places, taken):
+            units = [(m["dice"], bisect_right(ends, m["start"]), bisect_left(starts, m["end"])) for m in found if (m["license"], m["template"]) == (name, k)]
+            own = self.windows(t, pairs, places, [])
+            if units:
+                own = [(d, a, b) for d, a, b in own if all(b <= first or last <= a or (d > e and (a < first or last < b) and 2 * (min(b, last) - max(a, first)) > last - first) for e, first, last in units)]
+                own += self.windows(t, pairs, places, [(a, b) for _, a, b in (*units, *own)])
+            for d, a, b in own:
                 out.append({"unit": "passage", "start": starts[a], "end": ends[b - 1], "license": name, "template": k, "dice": d, "best": True})
         for m in out:
             for o in (*found, *out):

@@ -345,6 +345,18 @@ def test_notices_over_paragraphs_and_within_lines():
     assert len([m for m in licenses.Scanner().scan(f"{code}{layout}\n\n{code}{layout}\n{code}") if m["best"]]) == 2
 
 
+def test_complete_licence_texts_are_found():
+    disclaimer = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    scanner = licenses.Scanner()
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        found = scanner.scan(f"Copyright (c) 2020 A\n\n{licenses.TEMPLATES[name][1]}\n\n{disclaimer}\n")
+        assert any(m["unit"] == "document" and m["license"] == name and m["best"] for m in found)
+    for name in ("Apache-2.0", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "CC0-1.0", "Unlicense", "Zlib"):
+        text = licenses.TEXTS[name]
+        for whole in (text, "some code\n" * 30_000 + text + "\nmore code" * 30_000):
+            assert any(m["license"] == name and m["best"] and m["end"] - m["start"] > 0.9 * len(text) for m in scanner.scan(whole)), name
+
+
 def test_licence_windows_by_brute_force():
     rng = random.Random(3)
     for _ in range(300):
