@@ -2,7 +2,8 @@
 
 Training: token and prefix counts of a bounded sample of labelled documents give log-odds with Dirichlet priors;
 rare words take their prefix's score; other documents of the sample fit the extreme-value law and the calibration. Scoring: one linear scan over a text's token scores finds
-every maximal segment; segments are significant by their extreme-value expectation; a document's score is a
+every maximal segment; within a segment a word counts REPEATS times, so one with more of it is divided into its best
+disjoint parts under that rule, each judged on its own; segments are significant by their extreme-value expectation; a document's score is a
 logistic function of what its segments add up to.
 
 Contract: a null or empty text has no segments and gets the lowest score; labels that are null or whose doc_id is
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_fold, cut, ship, table
+from .common import best_disjoint, crc32_fold, cut, ship, table
 
 #: At most about this many labelled documents of each kind teach the model (chosen by a hash of doc_id).
 SAMPLE_PER_LABEL = 6000
@@ -34,7 +35,7 @@ MIN_DOCS = 3
 PRIOR = 2.0  # Dirichlet pseudo-counts of each token
 SURE = 1.5  # standard errors taken off positive log-odds
 DROP = 0.35  # cost of a token without evidence
-REPEATS = 2  # further occurrences of a word in a text are no evidence
+REPEATS = 2  # further occurrences of a word in a segment are no evidence
 TOXIC = 0.7
 PREFIXES = (5, 4, 3)
 _WORD = re.compile(r"[^\W_]+")
@@ -125,6 +126,40 @@ def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - lo) for s, e, lo, r in stack]
 
 
+def capped_segments(values: np.ndarray, words: list[str]) -> list[tuple[int, int, float]]:
+    """Disjoint segments (start, end, sum) in which each word is evidence REPEATS times at most and costs DROP from then on.
+
+    The cap only lowers sums, so the best segment under it has positive ends and lies within a maximal one. Those
+    without further occurrences stay as they are; the others are divided into their best parts, highest sum first.
+    """
+    out = []
+    positive = np.flatnonzero(values > 0)
+    costs = np.concatenate([[0.0], np.cumsum(np.minimum(values, 0))])
+    for start, end, total in segments(values):
+        p = positive[np.searchsorted(positive, start) : np.searchsorted(positive, end)]
+        # a word is evidence in parts that start after its occurrence REPEATS places back
+        since, seen = np.full(len(p), -1, np.int64), defaultdict(list)
+        for j, i in enumerate(p.tolist()):
+            own = seen[words[i]]
+            if len(own) >= REPEATS:
+                since[j] = own[-REPEATS]
+            own.append(i)
+        if (since < 0).all():
+            out.append((start, end, total))
+            continue
+        # sums from the start of a best part stay positive, which bounds its length by all evidence there can be
+        most = int(REPEATS * (sum(float(values[own[0]]) for own in seen.values()) / DROP + len(seen))) + 1
+
+        def best(first: int, limit: int, p=p, since=since, most=most) -> tuple[float, int]:
+            a, b = np.searchsorted(p, (first, min(limit, first + most)))
+            sums = np.cumsum(np.where(since[a:b] < first, values[p[a:b]], -DROP)) + costs[p[a:b]] - costs[first]
+            k = int(sums.argmax())
+            return float(sums[k]), int(p[a + k]) + 1
+
+        out += sorted((s, e, v) for v, s, e in best_disjoint(best, p.tolist(), end))
+    return out
+
+
 def expectation(model: Model, best: float, n: int) -> float:
     """log10 of how many segments of this sum or more chance gives in a clean text of n tokens."""
     return (math.log(max(model.weight, 1e-9) * max(n, 1)) - model.decay * best) / math.log(10)
@@ -139,12 +174,7 @@ def _statistic(model: Model, found: list[tuple[int, int, float]], n: int) -> flo
 def score_text(model: Model, cache: dict, text: str | None) -> tuple[float, list[tuple[int, int, float]], list[str]]:
     words = tokens(text)
     values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-    seen: Counter = Counter()
-    for i in np.flatnonzero(values > 0).tolist():
-        seen[words[i]] += 1
-        if seen[words[i]] > REPEATS:
-            values[i] = -DROP
-    found = segments(values)
+    found = capped_segments(values, words)
     x = _statistic(model, found, len(words))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.a + model.b * x)))), found, words
 

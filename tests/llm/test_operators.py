@@ -150,6 +150,36 @@ def test_segments_by_definition():
         assert [(a, b, round(s, 6)) for a, b, s in toxicity.segments(v)] == segments_by_definition(v)
 
 
+def test_repeats_are_capped_within_each_segment():
+    bad = [f"bad{k}" for k in range(6)]
+    model = toxicity.Model(dict.fromkeys(bad, 2.0))
+    filler = [f"w{k}" for k in range(40)]
+    words = [w for b in bad * 2 for w in (b, *filler)] + 2 * (bad + filler) + bad
+    _, found, _ = toxicity.score_text(model, toxicity._Cache(model), " ".join(words))
+    dense = len(words) - 2 * (len(bad) + len(filler)) - len(bad)
+    assert [s for s in found if s[2] > 11] == [(a, a + 6, 12.0) for a in (dense, dense + 46, dense + 92)]
+    _, found, _ = toxicity.score_text(model, toxicity._Cache(model), "bad0 " * 5)
+    assert found == [(0, 2, 4.0), (2, 4, 4.0), (4, 5, 2.0)]
+
+
+def test_capped_segments_by_definition():
+    rng = random.Random(8)
+    for _ in range(200):
+        score = {w: rng.choice([-1.07, -0.35, 0.5, 1.21, 2.9]) for w in "abcdef"}
+        words = rng.choices("abcdef", k=rng.randint(0, 25))
+        every = []
+        for a in range(len(words)):
+            seen, total = Counter(), 0.0
+            for b in range(a, len(words)):
+                seen[words[b]] += 1
+                total += score[words[b]] if score[words[b]] <= 0 or seen[words[b]] <= toxicity.REPEATS else -toxicity.DROP
+                every.append((a, b + 1, total))
+        found = toxicity.capped_segments(np.array([score[w] for w in words]), words)
+        assert {(a, b, round(v, 6)) for a, b, v in found} <= {(a, b, round(v, 6)) for a, b, v in every}
+        assert all(any(f[2] > v - 1e-9 and f[0] < b and a < f[1] for f in found) for a, b, v in every if v > 1e-9)
+        assert all(f is g or f[1] <= g[0] or g[1] <= f[0] for f in found for g in found)
+
+
 def test_toxic_documents_are_found(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8))) for _ in range(400)]
