@@ -256,13 +256,21 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, int
         join = rng.choice(joins)
         return rng.choice(names) + join + value + {'"': '"', "'": "'"}.get(join[-1], "")
 
+    def pem() -> str:
+        kind = rng.choice(("", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "))
+        body = base64.b64encode(rng.randbytes(rng.choice((48, 118, 320, 608, 1192, 2350)))).decode()
+        width, end = rng.choice((64, 64, 70, 76, len(body))), rng.choice(("\n", "\n", "\r\n"))
+        lines = [body[i : i + width] for i in range(0, len(body), width)]
+        return end.join([f"-----BEGIN {kind}PRIVATE KEY-----", *lines, f"-----END {kind}PRIVATE KEY-----"])
+
     for k in range(n):
         if k % 2:
-            kind = rng.randrange(8)
+            kind = rng.randrange(9)
             secret = (
                 rng.choice(("AKIA", "ASIA")) + pick(base32 + "0189", 16), "gh" + rng.choice("pous") + "_" + pick(mixed, 36), f"xox{rng.choice('bp')}-{pick('0123456789', 11)}-{pick(mixed, 24)}",
                 "eyJ" + pick(mixed, 20) + "." + pick(mixed, 40) + "." + pick(mixed + "_-", 43), assign(pick(hexes, rng.choice((16, 18, 20, 24, 32, 40)))), assign(pick(mixed, rng.randint(12, 40))),
                 assign(pick(mixed + "!@#$%^&*", rng.randint(8, 20))), assign(base64.b64encode(rng.randbytes(rng.choice((18, 24, 32)))).decode()),
+                pem(),
             )[kind]
             path = rng.choice((*good_paths, *neutral, *neutral))
         else:

@@ -222,6 +222,22 @@ def test_secrets_are_found_and_redacted(spark):
     assert texts[1] == ("see [SECRET] here", 17) and texts[2][0] == "set password=[SECRET] now" and texts[4][0] == "nothing here"
 
 
+def test_private_keys_stay_findings(spark):
+    import base64
+
+    rng, rows, blocks = random.Random(77), [], []
+    for source in ("", "src/main.py", "tests/fixtures/a.py", "docs/example.md"):
+        for kind in ("", "RSA ", "EC ", "OPENSSH "):
+            for size in (48, 118, 608, 1192, 2350):
+                body = base64.b64encode(rng.randbytes(size)).decode()
+                blocks.append("\n".join([f"-----BEGIN {kind}PRIVATE KEY-----", *(body[i : i + 64] for i in range(0, len(body), 64)), f"-----END {kind}PRIVATE KEY-----"]))
+                rows.append((len(rows), f"example key of the test\n{blocks[-1]}\nand more", source))
+    docs, model = documents(spark, rows), secrets.train()
+    found = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    assert all(found[i]["kind"] == "private_key" and found[i]["value"] == block and found[i]["secret"] for i, block in enumerate(blocks))
+    assert {r["text"] for r in secrets.redact(docs, model).collect()} == {"example key of the test\n[SECRET]\nand more"}
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 def exact_jp(a, b):
