@@ -238,6 +238,15 @@ def test_private_keys_stay_findings(spark):
     assert {r["text"] for r in secrets.redact(docs, model).collect()} == {"example key of the test\n[SECRET]\nand more"}
 
 
+def test_credentials_of_letters_alone_are_found(spark):
+    rng, letters = random.Random(9), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    values = ["".join(rng.choices(letters, k=20 + i % 20)) for i in range(200)]
+    names = ["updateUserSessionStateHandler", "DefaultConnectionPoolFactory", "internationalization", "AAAAAAAAAAAAAAAAAAAAAAAA"]
+    rows = [(i, f"see {v} here", "s") for i, v in enumerate(values + names)]
+    found = [r["value"] for r in secrets.scan(documents(spark, rows), secrets.train()).collect() if r["secret"]]
+    assert len(set(found) & set(values)) >= 190 and not set(found) & set(names)
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 def exact_jp(a, b):
