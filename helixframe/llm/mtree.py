@@ -2,15 +2,20 @@
 
 Inner products become distances: with M the largest norm, a vector v gets one more component sqrt(M^2 - |v|^2) and
 a query gets 0 there; then |q - v|^2 = |q|^2 + M^2 - 2 q.v, so the nearest vectors have the highest products. Vectors
-are dealt to cells around pivots and cells are split into trees of bounded size. A tree has pages, each with a
-routing object, a covering radius and its distance to the tree's root object; each entry keeps its distance to its
-page's object. A query first searches the tree that holds it; the k-th distance found there bounds which cells,
-pages and entries can still matter anywhere, by the triangle inequality over stored distances alone.
-
-Contract: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows without vec_id;
-rows equal in vec_id and vector count once; shorter vectors are filled up with zeros; ties go to the smaller vec_id;
-where fewer than k candidates exist all are returned; an empty table gives an empty result; other columns are
-never read. Products are exact integers while they stay under 2^53.
+are dealt to cells around pivots and cells are split into trees of bounded size. A tree's nodes are pages of at most PAGE
+entries: leaves hold vectors, inner nodes hold the routing objects of their children, with covering radius and
+distance to the parent's object; each vector keeps its distance to its leaf's object. Each query goes best-first: of the
+nodes it has met it opens the one with the least lower bound, until none is under its present k-th distance. Stored
+distances and the triangle inequality bound nodes and entries before anything is computed for them.
+
+A query first searches the tree that holds it; the k-th distance found there bounds which cells can still matter. Queries
+are gathered in blocks, a block's queries go to each tree of such cells once, and a tree's task takes them block by block.
+
+Contract: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows without vec_id; every
+other row is a candidate for every query but its own row, so rows equal in vec_id and vector are each other's candidates
+and each asks its own query; shorter vectors are filled up with zeros; ties go to the smaller vec_id; where fewer than k
+candidates exist all are returned; an empty table gives an empty result; other columns are never read. Products are exact
+integers: from 2^52 of the largest square norm on they are computed in 64-bit integers, and from 2^62 on top_k() refuses.
 """
 
 from __future__ import annotations
@@ -23,26 +28,28 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, ship, table
 
 K = 5
 SCALE = 256
 EVERY = 50
-#: Vectors of one tree and entries of one page.
-TREE, PAGE = 2048, 64
+#: Vectors of one tree, entries of one page and children of one inner node.
+TREE, PAGE, FANOUT = 2048, 64, 8
 #: Pivots come from a sample of this many vectors at most; more vectors make more trees, not more pivots.
 PIVOT_SAMPLE, MOST_PIVOTS, VECTORS_PER_PIVOT = 4096, 256, 2000
-#: Queries that one search task takes at once.
-QUERY_BLOCK = 20_000
-SLACK = 1e-7
+#: Queries of one block, about.
+QUERY_BLOCK = 8_000
+SLACK = 1e-6
+EXACT_FLOAT, EXACT_LONG = 2.0**52, 2.0**62
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the vector as floor(scale x component); rows that take no part are gone."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")).dropDuplicates(["vec_id", "v"])
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -65,6 +72,13 @@ class Space:
 
     def __init__(self, top: float):
         self.top = top
+        self.wide = top >= EXACT_FLOAT
+        #: What stands for no score: under all scores, in the type they have.
+        self.none = np.int64(-(2**63) + 1) if self.wide else -np.inf
+
+    def products(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Exact inner products: as floats while they stay under 2^52, else as 64-bit integers."""
+        return q.astype(np.int64) @ v.astype(np.int64).T if self.wide else q @ v.T
 
     def lift(self, v: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.top - (v * v).sum(1), 0))
@@ -91,85 +105,126 @@ def _spread(v: np.ndarray, count: int, space: Space) -> np.ndarray:
     return np.asarray(chosen)
 
 
-def build(ids: np.ndarray, v: np.ndarray, space: Space) -> dict:
-    """One tree: entries sorted by page; all that searching needs is stored."""
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
+def build(ids: np.ndarray, rows: np.ndarray, v: np.ndarray, space: Space) -> dict:
+    """One tree: entries in order of leaves; nodes bottom-up, the root last; all that searching needs is stored."""
+    order = np.lexsort((rows, ids))
+    ids, rows, v = ids[order], rows[order], v[order]
     centres = v[_spread(v, -(-len(v) // PAGE), space)]
     d = space.between(v, centres)
     page = d.argmin(1)
-    # pages hold at most PAGE entries: a fuller one is split in order of distance, with rings of its own
+    # leaves hold at most PAGE entries: a fuller one is split in order of distance, with rings of its own
     entry = d[np.arange(len(v)), page]
     order = np.lexsort((entry, page))
-    ids, v, page, entry = ids[order], v[order], page[order], entry[order]
+    ids, rows, v, page, entry = ids[order], rows[order], v[order], page[order], entry[order]
     first = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))
     within = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
-    starts = np.flatnonzero(within % PAGE == 0)
-    root = v[:1]
-    objects = centres[page[starts]]
+    starts = np.append(np.flatnonzero(within % PAGE == 0), len(v))
+    leaves = len(starts) - 1
+    objects = [centres[page[i]] for i in starts[:-1]]
+    radius, inner = list(np.maximum.reduceat(entry, starts[:-1])), list(np.minimum.reduceat(entry, starts[:-1]))
+    below = [np.arange(a, b) for a, b in zip(starts, starts[1:], strict=False)]  # entries under each node
+    children: list[list[int]] = [[] for _ in range(leaves)]
+    to_parent = [0.0] * leaves
+    level = list(range(leaves))
+    while len(level) > 1:
+        at = np.asarray([objects[n] for n in level])
+        heads = at[_spread(at, -(-len(level) // FANOUT), space)]
+        near = space.between(at, heads).argmin(1)
+        above = []
+        for h in range(len(heads)):
+            group = [n for n, x in zip(level, near.tolist(), strict=True) if x == h]
+            if not group:
+                continue
+            members = np.concatenate([below[n] for n in group])
+            reach = space.between(v[members], heads[h : h + 1])[:, 0]
+            for n, far in zip(group, space.between(np.asarray([objects[n] for n in group]), heads[h : h + 1])[:, 0].tolist(), strict=True):
+                to_parent[n] = far
+            above.append(len(objects))
+            objects.append(heads[h])
+            radius.append(reach.max())
+            inner.append(reach.min())
+            below.append(members)
+            children.append(group)
+            to_parent.append(0.0)
+        level = above
     return {
-        "ids": ids, "v": v, "entry": entry, "starts": np.append(starts, len(v)), "objects": objects,
-        "radius": np.maximum.reduceat(entry, starts), "inner": np.minimum.reduceat(entry, starts), "root": root, "parent": space.between(root, objects)[0],
+        "ids": ids, "rows": rows, "v": v, "entry": entry, "starts": starts, "objects": np.asarray(objects), "radius": np.asarray(radius), "inner": np.asarray(inner),
+        "children": [np.asarray(c, np.int64) for c in children], "parent": np.asarray(to_parent),
     }
 
 
-def search(tree: dict, q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, space: Space, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best in this tree within its bound, and what that costs.
+def search(tree: dict, q_rows: np.ndarray, q: np.ndarray, bound: np.ndarray, space: Space, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, vec_id, score) of each query's k best in this tree within its bound, its own row left out.
 
-    Pages come by their least lower bound over the queries; a query looks into a page only while the page's
-    ring can hold something within its present k-th distance, and only at entries whose stored distance allows it.
+    In each round every query opens the node with its own least bound; queries at one node are handled together.
+    A node's bound comes from its parent's known distance and stored ones; the distance to its own object is computed when
+    it is opened, and bounds its ring and each of its entries before any product is.
     """
-    n = len(q)
-    scores = np.full((n, k), -np.inf)
+    n, leaves = len(q), len(tree["starts"]) - 1
+    scores = np.full((n, k), space.none)
     found = np.full((n, k), np.iinfo(np.int64).max)
     limit = bound.copy()
-    to_root = space.from_query(q, tree["root"])[:, 0]
-    low = np.maximum(np.abs(to_root[:, None] - tree["parent"][None]) - tree["radius"][None], 0)  # parent distances only
     slack = SLACK * (1 + np.sqrt(space.top))
-    to_object = np.full(low.shape, np.nan)
-    for p in np.argsort(low.min(0), kind="stable").tolist():
-        near = np.flatnonzero(low[:, p] <= limit + slack)
-        if not len(near):
-            continue
-        to_object[near, p] = space.from_query(q[near], tree["objects"][p : p + 1])[:, 0]
-        d = to_object[near, p]
-        ring = np.maximum(np.maximum(d - tree["radius"][p], tree["inner"][p] - d), 0)
-        near, d = near[ring <= limit[near] + slack], d[ring <= limit[near] + slack]
-        if not len(near):
-            continue
-        a, b = tree["starts"][p], tree["starts"][p + 1]
-        entry = tree["entry"][a:b]
-        useful = np.abs(d[:, None] - entry[None]) <= (limit[near] + slack)[:, None]
-        some = np.flatnonzero(useful.any(0))
-        if not len(some):
-            continue
-        ids = tree["ids"][a:b][some]
-        s = q[near] @ tree["v"][a:b][some].T
-        s[~useful[:, some] | (ids[None] == q_ids[near][:, None])] = -np.inf
-        all_s = np.concatenate([scores[near], s], 1)
-        all_i = np.concatenate([found[near], np.broadcast_to(ids, s.shape)], 1)
-        order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-        scores[near], found[near] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        full = np.isfinite(scores[near, k - 1])
-        limit[near[full]] = np.minimum(limit[near[full]], space.of_score(q[near[full]], scores[near[full], k - 1]))
-    row, at = np.nonzero(np.isfinite(scores))
-    return row, found[row, at], scores[row, at]
+    low = np.full((n, len(tree["objects"])), np.inf)
+    low[:, -1] = 0
+    everyone = np.arange(n)
+    while True:
+        pick = low.argmin(1)
+        least = low[everyone, pick]
+        going = np.flatnonzero((least <= limit + slack) & (least < np.inf))
+        if not len(going):
+            break
+        low[going, pick[going]] = np.inf
+        order = going[np.argsort(pick[going], kind="stable")]
+        at, first = np.unique(pick[order], return_index=True)
+        for node, near in zip(at.tolist(), np.split(order, first[1:]), strict=True):
+            d = space.from_query(q[near], tree["objects"][node : node + 1])[:, 0]
+            ring = np.maximum(np.maximum(d - tree["radius"][node], tree["inner"][node] - d), 0)
+            inside = ring <= limit[near] + slack
+            near, d, ring = near[inside], d[inside], ring[inside]
+            if not len(near):
+                continue
+            if node >= leaves:
+                below = tree["children"][node]
+                bounds = np.abs(d[:, None] - tree["parent"][below][None]) - tree["radius"][below][None]
+                low[near[:, None], below[None]] = np.maximum(bounds, ring[:, None])
+                continue
+            a, b = tree["starts"][node], tree["starts"][node + 1]
+            useful = np.abs(d[:, None] - tree["entry"][a:b][None]) <= (limit[near] + slack)[:, None]
+            some = np.flatnonzero(useful.any(0))
+            if not len(some):
+                continue
+            ids, rows = tree["ids"][a:b][some], tree["rows"][a:b][some]
+            s = space.products(q[near], tree["v"][a:b][some])
+            s[~useful[:, some] | (rows[None] == q_rows[near][:, None])] = space.none
+            all_s = np.concatenate([scores[near], s], 1)
+            all_i = np.concatenate([found[near], np.broadcast_to(ids, s.shape)], 1)
+            order_k = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+            scores[near], found[near] = np.take_along_axis(all_s, order_k, 1), np.take_along_axis(all_i, order_k, 1)
+            full = near[scores[near, k - 1] > space.none]
+            limit[full] = np.minimum(limit[full], space.of_score(q[full], scores[full, k - 1].astype(float)))
+    row, at = np.nonzero(scores > space.none)
+    return row, found[row, at], scores[row, at].astype(np.int64)
+
+
+FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by every."""
     spark = vectors.sparkSession
     ship(spark)
-    v = integers(vectors, scale)
-    v = cut(v, "mtree-vectors")
+    v = cut(integers(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "mtree-vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, top, width = v.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if top >= EXACT_LONG:
+        raise ValueError("inner products may exceed 64-bit integers; scale the vectors down")
     space = Space(float(top))
-    sample = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(1_000_000 * PIVOT_SAMPLE / n)).limit(2 * PIVOT_SAMPLE).toArrow()
+    sample = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(1_000_000 * PIVOT_SAMPLE / n)).limit(2 * PIVOT_SAMPLE).select("v").toArrow()
     if sample.num_rows == 0:
-        sample = v.limit(1).toArrow()
+        sample = v.limit(1).select("v").toArrow()
     pool = _matrix(sample.column("v"), width)
     pool = pool[np.lexsort(pool.T[::-1])]
     pivots = pool[_spread(pool, int(min(MOST_PIVOTS, max(1, n // VECTORS_PER_PIVOT))), space)]
@@ -178,9 +233,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
         for batch in batches:
             d = space.between(_matrix(batch.column(1), width), pivots)
             cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(d[np.arange(len(cell)), cell])], ["vec_id", "v", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(d[np.arange(len(cell)), cell])], ["vec_id", "v", "row", "cell", "away"])
 
-    dealt = cut(v.mapInArrow(assign, "vec_id long, v array<long>, cell long, away double"), "mtree-cells")
+    dealt = cut(v.mapInArrow(assign, "vec_id long, v array<long>, row long, cell long, away double"), "mtree-cells")
     cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner")).toPandas()  # one row a pivot
     parts = np.zeros(len(pivots), np.int64)
     radius, inner = np.zeros(len(pivots)), np.zeros(len(pivots))
@@ -189,69 +244,76 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
     offset = np.concatenate([[0], np.cumsum(parts)])
     part_of = F.element_at(F.array(*(F.lit(int(x)) for x in np.maximum(parts, 1))), F.col("cell").cast("int") + 1)
     start_of = F.element_at(F.array(*(F.lit(int(x)) for x in offset[:-1])), F.col("cell").cast("int") + 1)
-    dealt = dealt.withColumn("tree", start_of + F.pmod(F.xxhash64("vec_id", F.lit(3)), part_of))
+    dealt = dealt.withColumn("tree", start_of + F.pmod(F.xxhash64("row", F.lit(3)), part_of))
 
     def plant(frame: pd.DataFrame) -> pd.DataFrame:
-        width_v = np.zeros((len(frame), width))
+        wide = np.zeros((len(frame), width))
         for i, x in enumerate(frame["v"]):
-            width_v[i, : len(x)] = x
-        tree = build(frame["vec_id"].to_numpy(np.int64), width_v, space)
+            wide[i, : len(x)] = x
+        tree = build(frame["vec_id"].to_numpy(np.int64), frame["row"].to_numpy(np.int64), wide, space)
         return pd.DataFrame({"tree": [int(frame["tree"].iloc[0])], "body": [pickle.dumps(tree, protocol=5)]})
 
-    trees = cut(dealt.select("tree", "vec_id", "v").groupBy("tree").applyInPandas(plant, "tree long, body binary"), "mtree-trees")
-    queries = max(1, n // every)
-    chunks = max(1, -(-queries // QUERY_BLOCK))
+    trees = cut(dealt.select("tree", "vec_id", "row", "v").groupBy("tree").applyInPandas(plant, "tree long, body binary"), "mtree-trees")
+    blocks = max(1, -(-n // every // QUERY_BLOCK))
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Searches each tree for its own queries, then sends them to the trees that their bounds leave."""
-        slack = SLACK * (1 + np.sqrt(space.top))
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Searches each tree for its own queries; one row for each query with its vector, limit and what was found."""
         for frame in frames:
             for number, body in zip(frame["tree"], frame["body"], strict=True):
                 tree = pickle.loads(body)
                 own = np.flatnonzero(tree["ids"] % every == 0)
                 if not len(own):
                     continue
-                q_ids, q = tree["ids"][own], tree["v"][own]
-                row, vec_id, score = search(tree, q_ids, q, np.full(len(own), np.inf), space, k)
+                q_rows, q = tree["rows"][own], tree["v"][own]
+                row, vec_id, score = search(tree, q_rows, q, np.full(len(own), np.inf), space, k)
                 count = np.bincount(row, minlength=len(own))
                 worst = np.full(len(own), np.inf)
                 np.minimum.at(worst, row, score)
                 limit = np.where(count >= k, space.of_score(q, np.where(count >= k, worst, 0)), np.inf)
-                d = space.from_query(q, pivots)
-                low = np.maximum(np.maximum(d - radius[None], inner[None] - d), 0)
-                wanted = low <= limit[:, None] + slack
-                out = [(int(number), -1, pickle.dumps((q_ids[row], vec_id, score), protocol=5))]
-                for cell in np.flatnonzero(wanted.any(0) & (parts > 0)):
-                    here = np.flatnonzero(wanted[:, cell])
-                    block = pickle.dumps((q_ids[here], q[here], limit[here]), protocol=5)
-                    out += [(int(t), int(number) % chunks, block) for t in range(offset[cell], offset[cell + 1]) if t != number]
-                yield pd.DataFrame(out, columns=["tree", "chunk", "block"])
-
-    routed = cut(trees.mapInPandas(route, "tree long, chunk long, block binary"), "mtree-routes")
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for block in frame["block"]:
-                q_ids, vec_id, score = pickle.loads(block)
-                yield pd.DataFrame({"query_id": q_ids, "vec_id": vec_id, "score": score.astype(np.int64)})
-
-    def look(tree_rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+                cut_at = np.cumsum(count)[:-1]
+                yield pd.DataFrame({
+                    "query_row": q_rows, "query_id": tree["ids"][own], "tree": int(number), "v": [x.tobytes() for x in q], "limit": limit,
+                    "vec_ids": np.split(vec_id, cut_at), "scores": np.split(score, cut_at),
+                })
+
+    asked = cut(trees.mapInPandas(ask, "query_row long, query_id long, tree long, v binary, limit double, vec_ids array<long>, scores array<long>"), "mtree-asked")
+
+    def route(frame: pd.DataFrame) -> pd.DataFrame:
+        """The queries of a block, as one message to each tree that their limits leave."""
+        q = np.frombuffer(b"".join(frame["v"])).reshape(-1, width)
+        limit, q_rows, q_ids, home = (frame[c].to_numpy() for c in ("limit", "query_row", "query_id", "tree"))
+        d = space.from_query(q, pivots)
+        low = np.maximum(np.maximum(d - radius[None], inner[None] - d), 0)
+        wanted = low <= limit[:, None] + SLACK * (1 + np.sqrt(space.top))
         out = []
-        if len(tree_rows) and len(blocks):
-            tree = pickle.loads(tree_rows["body"].iloc[0])
-            for block in blocks["block"]:
-                q_ids, q, limit = pickle.loads(block)
-                row, vec_id, score = search(tree, q_ids, q, limit, space, k)
-                out.append(pd.DataFrame({"query_id": q_ids[row], "vec_id": vec_id, "score": score.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-
-    schema = "query_id long, vec_id long, score long"
-    near = routed.where("chunk < 0").mapInPandas(unpack, schema)
-    spread = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("chunk", F.col("chunk").cast("long"))
-    far = spread.groupBy("tree", "chunk").cogroup(routed.where("chunk >= 0").groupBy("tree", "chunk")).applyInPandas(look, schema)
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        for cell in np.flatnonzero(wanted.any(0) & (parts > 0)):
+            for t in range(offset[cell], offset[cell + 1]):
+                here = np.flatnonzero(wanted[:, cell] & (home != t))
+                if len(here):
+                    out.append((t, pickle.dumps((q_rows[here], q_ids[here], q[here], limit[here]), protocol=5)))
+        return pd.DataFrame(out, columns=["tree", "body"])
+
+    by_block = asked.select("query_row", "query_id", "tree", "v", "limit", F.pmod(F.xxhash64("query_row", F.lit(5)), F.lit(blocks)).alias("block"))
+    routed = cut(by_block.groupBy("block").applyInPandas(route, "tree long, body binary"), "mtree-routes")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by tree, each tree before the messages to it: one tree and one message are held at a time."""
+        number, tree = None, None
+        for frame in frames:
+            for t, message, body in zip(frame["tree"], frame["message"], frame["body"], strict=True):
+                if not message:
+                    number, tree = t, pickle.loads(body)
+                    continue
+                if t != number:
+                    raise RuntimeError("a message without its tree")
+                q_rows, q_ids, q, limit = pickle.loads(body)
+                row, vec_id, score = search(tree, q_rows, q, limit, space, k)
+                yield pd.DataFrame({"query_row": q_rows[row], "query_id": q_ids[row], "vec_id": vec_id, "score": score})
+
+    near = asked.select("query_row", "query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("x")).select("query_row", "query_id", F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    mail = trees.select("tree", F.lit(False).alias("message"), "body").union(routed.select("tree", F.lit(True), "body"))
+    far = mail.repartition("tree").sortWithinPartitions("tree", "message").mapInPandas(look, FOUND)
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -261,11 +323,11 @@ def op10_mtree_top_k(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
