@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Training: token and prefix counts of a bounded sample of labelled documents give log-odds with Dirichlet priors;
-rare words take their prefix's score; other documents of the sample fit the extreme-value law and the calibration. Scoring: one linear scan over a text's token scores finds
-every maximal segment; within a segment a word counts REPEATS times, so one with more of it is divided into its best
+Training: token and prefix counts of a bounded sample of labelled documents give log-odds with informative Dirichlet
+priors; words without evidence take their prefix's score; other documents of the sample fit the extreme-value law and the
+calibration. Scoring: one linear scan over a text's token scores finds every maximal segment; within a segment a word counts REPEATS times, so one with more of it is divided into its best
 disjoint parts under that rule, each judged on its own; segments are significant by their extreme-value expectation; a document's score is a
 logistic function of what its segments add up to.
 
@@ -25,15 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_disjoint, crc32_fold, cut, ship, table
+from .common import best_disjoint, crc32_fold, cut, scratch, ship, table
 
 #: At most about this many labelled documents of each kind teach the model (chosen by a hash of doc_id).
 SAMPLE_PER_LABEL = 6000
-#: Tokens that the model keeps, those seen in most sample documents first: bounds what is sent to executors.
-MAX_TOKENS = 300_000
+#: Sample documents that a word or prefix must be in. What the model holds is bounded by the sample.
 MIN_DOCS = 3
-PRIOR = 2.0  # Dirichlet pseudo-counts of each token
-SURE = 1.5  # standard errors taken off positive log-odds
+PRIOR = 1.0  # Dirichlet pseudo-tokens for each vocabulary entry
+SURE = 2.0  # standard errors taken off positive log-odds; with PRIOR the least log-loss in cross-validation (README)
 DROP = 0.35  # cost of a token without evidence
 REPEATS = 2  # further occurrences of a word in a segment are no evidence
 TOXIC = 0.7
@@ -74,27 +73,50 @@ class _Cache(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = self.model.word(word)
         return found
 
 
-def log_odds(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Score of each word and prefix from how many toxic and clean documents hold it.
+def evidence(words: list[str]) -> Counter:
+    """Occurrences of a text's words and their prefixes; a word counts REPEATS times at most, as it does in a segment."""
+    out: Counter = Counter()
+    for word, n in Counter(words).items():
+        for level in _levels(word):
+            out[level] += min(n, REPEATS)
+    return out
+
+
+def _kind(token: str) -> int:
+    """0 for words, the length for prefixes: each kind is a vocabulary of its own."""
+    return len(token) if token[0] == "^" else 0
 
-    Each has a Dirichlet prior of PRIOR pseudo-counts, divided as the documents divide between the labels. Positive
-    log-odds count less SURE standard errors, so that chance findings among rare words stay under zero. A word
-    without clear evidence of its own is left out: its prefix, which has more, speaks for it.
+
+def log_odds(counts: dict[str, tuple[int, int]], prior: float = PRIOR, sure: float = SURE) -> dict[str, float]:
+    """Score of each word and prefix from its occurrences in toxic and in clean documents.
+
+    Both labels' token distributions have the same informative Dirichlet prior: prior pseudo-tokens for each vocabulary
+    entry on average, half of them in proportion to the token's occurrences under both labels, half spread evenly.
+    Positive log-odds count less ``sure`` standard errors, so that chance findings among rare words stay under zero. A
+    word without clear evidence of its own is left out: its prefix, which has more, speaks for it.
     """
-    share = n_toxic / max(1, n_toxic + n_clean)
+    sizes, toxic, clean = Counter(), Counter(), Counter()
+    for token, (t, c) in counts.items():
+        kind = _kind(token)
+        sizes[kind] += 1
+        toxic[kind] += t
+        clean[kind] += c
     scores: dict[str, float] = {}
     for token, (t, c) in counts.items():
-        at, ac = t + PRIOR * share, c + PRIOR * (1 - share)
-        odds = math.log(at / (n_toxic + PRIOR)) - math.log(ac / (n_clean + PRIOR))
-        sure = odds - SURE * math.sqrt(1 / at + 1 / ac)
-        if sure > 1.0:
-            scores[token] = min(8.0, sure)
+        kind = _kind(token)
+        mass = prior * sizes[kind]
+        alpha = mass / 2 * ((t + c) / (toxic[kind] + clean[kind]) + 1 / sizes[kind])
+        at, ac = t + alpha, c + alpha
+        odds = math.log(at / (toxic[kind] + mass)) - math.log(ac / (clean[kind] + mass))
+        likely = odds - sure * math.sqrt(1 / at + 1 / ac)
+        if likely > 1.0:
+            scores[token] = min(8.0, likely)
         elif token[0] == "^" or c >= 2:
             scores[token] = min(-DROP, max(-2.0, odds))
     return scores
@@ -225,29 +247,33 @@ def training_ids(labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFr
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
     """Fits on labels outside the held-out third. The sample, and so the model, is bounded by per_label."""
     ship(docs.sparkSession)
+    with scratch():
+        return _train(docs, labels, per_label)
+
+
+def _train(docs: DataFrame, labels: DataFrame, per_label: int) -> Model:
     chosen = training_ids(labels.select(F.col("doc_id").alias("_tox_id"), "toxic").withColumnRenamed("_tox_id", "doc_id"), per_label)
     # at most about 2 x per_label rows of two numbers: small enough to broadcast at any input size
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) < 3).alias("calibrates")), "tox-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, seen = (Counter(), Counter()), [0, 0]
+        hits, held = (Counter(), Counter()), Counter()
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label] += 1
-                hits[label].update({level for word in set(tokens(text)) for level in _levels(word)})
-        names = list(hits[0].keys() | hits[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*names, ""]), pa.array([*(hits[1][t] for t in names), seen[1]], pa.int64()), pa.array([*(hits[0][t] for t in names), seen[0]], pa.int64())],
-            ["token", "toxic", "clean"],
-        )
-
-    sums = sample.where(~F.col("calibrates")).mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("docs", F.col("toxic") + F.col("clean"))
-    kept = sums.where((F.col("docs") >= MIN_DOCS) | (F.col("token") == "")).orderBy((F.col("token") == "").desc(), F.col("docs").desc(), "token").limit(MAX_TOKENS).select("token", "toxic", "clean").toPandas()
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = evidence(tokens(text.as_py()))
+                hits[label].update(found)
+                held.update(found.keys())
+        names = list(held)
+        columns = [pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in (hits[1], hits[0], held))]
+        yield pa.RecordBatch.from_arrays(columns, ["token", "toxic", "clean", "docs"])
+
+    sums = sample.where(~F.col("calibrates")).mapInArrow(count, "token string, toxic long, clean long, docs long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "docs")))
+    kept = sums.where(F.col("docs") >= MIN_DOCS).select("token", "toxic", "clean").toPandas()  # bounded by the sample
     counts = {t: (int(a), int(b)) for t, a, b in kept.itertuples(index=False)}
-    n_toxic, n_clean = counts.pop("", (0, 0))
-    if not n_toxic or not n_clean:
+    kinds = {r[0] for r in sample.where(~F.col("calibrates")).select("toxic").distinct().collect()}
+    if len(kinds) < 2:
         return Model({}, a=-30.0)
-    model = Model(log_odds(counts, n_toxic, n_clean))
+    model = Model(log_odds(counts))
     levels = {t: c for t, (_, c) in counts.items() if t[0] != "^" and t in model.scores}
     # Words without a score cost DROP; their mass stands for the rest of the clean documents' words.
     known = np.array([model.scores[t] for t in levels]), np.array(list(levels.values()), float)
@@ -264,19 +290,25 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], ["label", "n", "best", "sums"])
 
     judged = sample.where("calibrates").mapInArrow(judge, "label long, n long, best double, sums array<double>").toPandas()
-    # Extreme values: in clean texts the mean number of segments of sum s or more is weight x n x exp(-decay s).
     # These documents took no part in the counts, so chance findings show here as they will elsewhere.
-    if not 0 < int(judged["label"].sum()) < len(judged):
+    return calibrated(model, judged["label"].to_numpy(int), judged["n"].to_numpy(int), list(judged["sums"]))
+
+
+def calibrated(model: Model, labels: np.ndarray, sizes: np.ndarray, sums: list) -> Model:
+    """The model with extreme-value constants and logistic weights from documents' labels, token counts and segment sums.
+
+    Extreme values: in clean texts the mean number of segments of sum s or more is weight x n x exp(-decay s).
+    """
+    if not 0 < int(labels.sum()) < len(labels):
         return model
-    clean = judged[judged["label"] == 0]
     level = 1.0
-    above = np.concatenate([np.asarray(s, float) for s in clean["sums"]] or [np.zeros(0)])
+    above = np.concatenate([np.asarray(s, float) for s, y in zip(sums, labels, strict=True) if y == 0])
     above = above[above >= level]
     if len(above) >= 20:
         model.decay = max(0.05, min(model.decay, 1 / max(1e-3, float((above - level).mean()))))
-    model.weight = max(1e-6, (len(above) + 0.5) / max(1.0, float(clean["n"].sum())) * math.exp(model.decay * level))
-    x = np.array([_statistic(model, [(0, 0, v) for v in s], n) for s, n in zip(judged["sums"], judged["n"], strict=True)])
-    model.a, model.b = _logistic(x, judged["label"].to_numpy(float))
+    model.weight = max(1e-6, (len(above) + 0.5) / max(1.0, float(sizes[labels == 0].sum())) * math.exp(model.decay * level))
+    x = np.array([_statistic(model, [(0, 0, v) for v in s], n) for s, n in zip(sums, sizes, strict=True)])
+    model.a, model.b = _logistic(x, labels.astype(float))
     return model
 
 
