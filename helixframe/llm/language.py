@@ -13,6 +13,7 @@ lang are read, lang only where it may teach.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_fold, cut, ship, table
+from .common import crc32_fold, cut, scratch, ship, table
 
 #: Hash slots of n-grams; languages x slots bounds the model and what reaches the driver.
 SLOTS = 1 << 16
@@ -34,17 +35,17 @@ TRACE = 0.05
 SMOOTH = 0.5
 #: n-grams of one text are weighed as this share of independent draws, since neighbours overlap.
 INDEPENDENT = 1 / 3
-#: Characters handled at once; a longer text is summed up in blocks, with the n-grams that span them.
+#: Characters handled at once; a longer text goes through in blocks, each with the end of the one before.
 BLOCK = 500_000
 
 _letters: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """For each code point up to the last plane in use: 1 where it is a letter."""
+    """For each code point: 1 where it is a letter."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x32000)), np.bool_, 0x32000)
+        _letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), np.bool_, sys.maxunicode + 1)
     return _letters
 
 
@@ -53,41 +54,75 @@ def slots_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Text is lower-cased; runs of other characters than letters become one space; n-grams need a letter.
     """
-    letters = _letter_table()
+    if len(texts) == 1 and len(texts[0]) > BLOCK:
+        return _long(texts[0])
     joined = " ".join(t.lower().replace("\0", " ") for t in texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     sizes = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts)) + 1
+    points, is_letter = _points(joined)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(points)]
-    known = points < len(letters)
-    is_letter = np.zeros(len(points), np.bool_)
-    is_letter[known] = letters[points[known]]
-    points = np.where(is_letter, points, 32).astype(np.uint64)
-    # one space for each run, and texts stay apart: their separator is a space as well
-    keep = is_letter | np.concatenate([[True], is_letter[:-1]])
+    # one space between words and at both ends; texts are separated by one as well
+    keep = is_letter | np.concatenate([[False], is_letter[:-1]])[: len(is_letter)]
     points, owner, is_letter = points[keep], owner[keep], is_letter[keep]
-    points = np.concatenate([[np.uint64(32)], points, [np.uint64(32)]])
-    is_letter = np.concatenate([[False], is_letter, [False]])
-    owner = np.concatenate([owner[:1], owner, owner[-1:]]) if len(owner) else np.zeros(2, np.int64)
+    if not len(points):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = [np.uint64(32)] * bool(is_letter[-1])
+    points = np.concatenate([[np.uint64(32)], points, end]).astype(np.uint64)
+    owner = np.concatenate([owner[:1], owner, owner[-1:][: len(end)]])
+    letter = points != 32
+    # owners of the letter at or after each place, and at or before it: n-grams over two texts are none
+    after, before = np.where(letter, owner, np.append(owner[1:], -1)), np.where(letter, owner, np.append(-1, owner[:-1]))
     keys = []
+    for n, (at, slot) in zip(ORDERS, _grams(points, letter), strict=True):
+        own = after[at] == before[at + n - 1]
+        keys.append(after[at[own]] * SLOTS + slot[own])
+    key = np.concatenate(keys)
+    key.sort()
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at] // SLOTS, key[at] % SLOTS, np.diff(np.append(at, len(key)))
+
+
+def _points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, with a space for each that is no letter, and which are letters."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    is_letter = _letter_table()[points]
+    return np.where(is_letter, points, 32).astype(np.uint64), is_letter
+
+
+def _grams(points: np.ndarray, is_letter: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Start and slot of each n-gram with a letter, for each order."""
+    out = []
     for n in ORDERS:
-        m = len(points) - n + 1
+        m = max(0, len(points) - n + 1)
         h = np.full(m, np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         some = np.zeros(m, np.bool_)
         for k in range(n):
             h = (h ^ points[k : k + m]) * np.uint64(0xFF51AFD7ED558CCD)
             h ^= h >> np.uint64(32)
             some |= is_letter[k : k + m]
-        # an n-gram belongs to the text of its first letter
-        first = owner[:m]
-        if n > 1:
-            first = np.where(is_letter[:m], owner[:m], owner[1 : m + 1])
-        keys.append((first[some] * SLOTS + (h[some] & np.uint64(SLOTS - 1)).astype(np.int64)))
-    key = np.concatenate(keys)
-    key.sort()
-    if not len(key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[at] // SLOTS, key[at] % SLOTS, np.diff(np.append(at, len(key)))
+        out.append((np.flatnonzero(some), (h[some] & np.uint64(SLOTS - 1)).astype(np.int64)))
+    return out
+
+
+def _long(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """slots_of() of one long text, block by block: each order's n-grams go on from what it kept of the last block."""
+    low = text.lower().replace("\0", " ")
+    total = np.zeros(SLOTS, np.int64)
+    held, was_letter = np.array([32], np.uint64), False
+    for start in range(0, len(low), BLOCK):
+        points, is_letter = _points(low[start : start + BLOCK])
+        keep = is_letter | np.concatenate([[was_letter], is_letter[:-1]])
+        was_letter = bool(is_letter[-1])
+        end = [np.array([32], np.uint64)] if was_letter and start + BLOCK >= len(low) else []
+        points = np.concatenate([held, points[keep], *end])
+        letter = points != 32
+        for n, (at, slot) in zip(ORDERS, _grams(points, letter), strict=True):
+            fresh = at + n > len(held) if start else at >= 0  # the n-grams within what was held are counted already
+            np.add.at(total, slot[fresh], 1)
+        held = points[-(max(ORDERS) - 1) :]
+    at = np.flatnonzero(total)
+    return np.zeros(len(at), np.int64), at, total[at]
 
 
 @dataclass
@@ -97,8 +132,16 @@ class Model:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits on rows whose crc32(doc_id) mod 5 is not 0, at most about per_language of each language."""
+    """Fits on rows whose crc32(doc_id) mod 5 is not 0, at most about per_language of each language.
+
+    The model holds SLOTS numbers for each language: it grows with the languages that lang names, not with the rows.
+    """
     ship(docs.sparkSession)
+    with scratch():
+        return _train(docs, per_language)
+
+
+def _train(docs: DataFrame, per_language: int) -> Model:
     usable = docs.select("doc_id", "lang", "text").where((crc32_fold("doc_id", 5) != 0) & F.col("lang").isNotNull())
     sizes = dict(usable.groupBy("lang").count().collect())
     languages = sorted(sizes)
