@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, table
+from .common import WORD, cut, scratch, table
 
 #: Documents of a source are ordered by a seeded hash; running sums go over this many hash ranges first.
 RANGES_HEX = 3
@@ -59,15 +59,17 @@ def water_fill(sources: DataFrame, share: float, max_epochs: int) -> DataFrame:
     return s.select("source", "_mix_key", "source_size", target.cast("double").alias("target"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17, keep: dict[str, Column] | None = None) -> DataFrame:
     """For each document: size, source_size, target of its source, repetitions and taken words.
 
     A source's documents all get floor(target / size) repetitions; the rest of the target goes to documents in
     an order of a seeded hash of doc_id, each whole, as long as its middle lies within the rest. So a
-    source misses its target by half a document at most, and no document is taken more than max_epochs times.
+    source misses its target by half a document at most, and no document is taken more than max_epochs times. Rows without
+    doc_id are ordered by their text's hash in its place. keep names more columns of docs to take along.
     """
-    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    narrow = docs.select("doc_id", "source", *[F.col(c).alias(f"_mix_keep_{c}") for c in keep], size_of(F.col("text")).alias("size"), h.alias("_mix_h"))
+    kept = keep or {}
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))), F.lit(f":{seed}")))
+    narrow = docs.select("doc_id", "source", *[x.alias(f"_mix_keep_{c}") for c, x in kept.items()], size_of(F.col("text")).alias("size"), h.alias("_mix_h"))
     narrow = cut(narrow.withColumn("_mix_key", _key(F.col("source"))).withColumn("_mix_range", F.substring("_mix_h", 1, RANGES_HEX)), "mix-sizes")
 
     ranges = narrow.groupBy("_mix_key", "_mix_range").agg(F.sum("size").alias("_mix_words"))
@@ -84,19 +86,27 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     out = joined.withColumn("_mix_whole", whole).withColumn("_mix_start", start)
     more = F.when(2 * F.col("_mix_start") + F.col("size") < 2 * (F.col("target") - F.col("_mix_whole") * F.col("source_size")), 1).otherwise(0)
     out = out.withColumn("repetitions", F.col("_mix_whole") + more)
-    return out.select("doc_id", "source", *[F.col(f"_mix_keep_{c}").alias(c) for c in keep], "size", "source_size", "target", "repetitions", (F.col("size") * F.col("repetitions")).alias("taken"))
+    return out.select("doc_id", "source", *[F.col(f"_mix_keep_{c}").alias(c) for c in kept], "size", "source_size", "target", "repetitions", (F.col("size") * F.col("repetitions")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as many times as plan() says, with its own columns.
 
-    The row that plan() decides on is found again by doc_id and size; rows that agree in both get equal numbers.
+    The row that plan() decides on is found again by doc_id, source, size and text. Where several rows agree in all of them,
+    their repetitions are counted together and dealt to them in turn.
     """
     columns = docs.columns
-    decided = cut(plan(docs, **options).groupBy("doc_id", "size").agg(F.max("repetitions").alias("_mix_n")), "mix-plan")
-    body = docs.withColumn("_mix_size", size_of(F.col("text")))
-    joined = body.join(decided.withColumnRenamed("doc_id", "_mix_id").withColumnRenamed("size", "_mix_size2"), F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_size") == F.col("_mix_size2")))
-    return joined.where("_mix_n > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    # two numbers without nulls stand for what identifies a row, so that the join and the numbering share one shuffle
+    one = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    two = F.xxhash64(F.col("doc_id").isNull(), F.col("source").isNull(), "source", F.coalesce(F.col("text"), F.lit("")))
+    with scratch():
+        plans = plan(docs.select("doc_id", "source", "text"), keep={"_mix_one": one, "_mix_two": two}, **options)
+        decided = plans.groupBy("_mix_one", "_mix_two").agg(F.count("*").alias("_mix_rows"), F.sum("repetitions").alias("_mix_all"))
+        decided = cut(decided.where("_mix_all > 0"), "mix-plan", keep=True)
+    numbered = docs.withColumn("_mix_one", one).withColumn("_mix_two", two).withColumn("_mix_k", F.row_number().over(Window.partitionBy("_mix_one", "_mix_two").orderBy(F.lit(0))))
+    each = F.floor(F.col("_mix_all") / F.col("_mix_rows")) + F.when(F.col("_mix_k") <= F.col("_mix_all") % F.col("_mix_rows"), 1).otherwise(0)
+    joined = numbered.join(decided, ["_mix_one", "_mix_two"]).withColumn("_mix_n", each.cast("int")).where("_mix_n > 0")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -107,7 +117,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null') || ':17') AS h FROM documents),
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':17') AS h FROM documents),
 t AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
 w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::BIGINT AS weight FROM t),
 c AS (SELECT *, 2 * source_size AS cap,
