@@ -6,7 +6,8 @@ the source payload and of their own block. The text is taken from the HTML by Da
 Contract: a null payload is empty and still gives both records; a null target URI or date stays null and its header
 line is left out; record ids follow from the response's id (or, for page tables, from page_id, url and a digest of
 the html), so reruns agree and rows equal in all of these give equal records; an empty table gives an empty result;
-columns of other names are never read.
+columns of other names are never read. Digests are labelled with their algorithm and hexadecimal; numeric entities stay as
+they are in the text.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     The response is read once; both records come from one row, so nothing is shuffled.
     """
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    links = F.array_join(F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")
+    links = F.array_join(F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), F.translate(x, "\r\n\t", ""), F.lit("\r\n"))), "")
     title = F.regexp_replace(F.regexp_replace(_entities(F.regexp_extract(payload, TITLE, 1)), r"[ \t\r\n\f]+", " "), r"^ +| +$", "")
     fields = F.concat(
         F.lit("title: "), title, F.lit("\r\nlanguage: "), F.regexp_extract(payload, LANG, 1), F.lit("\r\nsource-payload-digest: "), _sha1(payload),
@@ -82,10 +83,15 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def as_warc(records: DataFrame) -> DataFrame:
-    """Derived records as the bytes of WARC/1.1 records, one row each: concatenated they are a WARC file."""
+    """Derived records as the bytes of WARC/1.1 records, one row each: concatenated they are a WARC file.
+
+    Line breaks in a header's value (a crawled address may hold any character) are percent-encoded, so that no value
+    adds a header.
+    """
 
     def line(name: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
+        safe = F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+        return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n"))).otherwise(F.lit(""))
 
     def uri(value: Column) -> Column:
         return F.concat(F.lit("<"), value, F.lit(">"))
@@ -119,7 +125,7 @@ def _sql() -> str:
     text = f"regexp_replace(regexp_replace({entities(text)}, {q(BLANKS)}, ' ', 'g'), {q(LINES)}, chr(10), 'g')"
     text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
     title = f"regexp_replace(regexp_replace({entities(f'regexp_extract(payload, {q(TITLE)}, 1)')}, '[ \\t\\r\\n\\f]+', ' ', 'g'), '^ +| +$', '', 'g')"
-    links = f"coalesce(list_aggregate(list_transform(regexp_extract_all(payload, {q(LINK)}, 1), lambda x: 'outlink: ' || x || {crlf}), 'string_agg', ''), '')"
+    links = f"coalesce(list_aggregate(list_transform(regexp_extract_all(payload, {q(LINK)}, 1), lambda x: 'outlink: ' || translate(x, chr(13) || chr(10) || chr(9), '') || {crlf}), 'string_agg', ''), '')"
     fields = f"""'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, {q(LANG)}, 1) || {crlf} || 'source-payload-digest: ' || source_digest || {crlf}
         || 'source-payload-length: ' || octet_length(encode(payload))::VARCHAR || {crlf} || {links} || 'source-http-headers:' || {crlf}
         || 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || octet_length(encode(payload))::VARCHAR || {crlf}"""
