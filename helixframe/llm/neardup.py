@@ -8,9 +8,10 @@ exact similarity of the shingle weights decides. Classes are the components of l
 
 Texts with the same words are one text from the start, whatever their number. Buckets of more than GROUP texts are
 coarse groups as they are. Coarse groups of up to GROUP texts are verified whole. A larger one is first dealt into
-random parts, each with the texts that share most bands with others (the likeliest common origin); then every text
-that is still outside the group's largest component is compared with all texts of the group, block by block. Two
-texts inside that component need no comparison, so no link of a group is left out, whatever its size.
+random parts, each with the texts that share most bands with others (the likeliest common origin). Two texts inside the
+group's largest component need no comparison then. Of all others, rarity of shingles tells which texts can have a link
+at all (an exact bound, with rows in proportion to the texts); those outside the component are compared with all that are
+left, block by block. So no link of a group is left out, whatever its size.
 
 Contract: a text without any word is alone in its class; texts of fewer than five words have one shingle; null texts
 have no words; null doc_ids are allowed (a class of such rows only has a null class_id); repeated rows share
@@ -28,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, release, ship, table
+from .common import cut, release, scratch, ship, table
 
 WORDS = 5
 SIMILAR = 0.8
@@ -50,7 +52,7 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -398,36 +400,81 @@ def _links(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
     first = components(links).withColumnRenamed("label", "component").withColumnRenamed("node", "key")
     split = cut(large.join(first, "key", "left").withColumn("component", F.coalesce("component", "key")), "near-split")
     main = split.groupBy("label", "component").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = cut(main.where(F.col("all") > F.col("most")).select("label", "main", F.ceil((F.col("all") - F.col("most")) / GROUP).alias("blocks")), "near-main")
-    block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))
+    main = cut(main.where(F.col("all") > F.col("most")).select("label", "main"), "near-main")
+    sides = split.join(main, "label").select("key", "label", (F.col("component") != F.col("main")).alias("outside"))
+    open_texts = cut(weighed.where(F.col("size") > GROUP).select("key", "hashes", "counts").join(sides, "key"), "near-open")
+    useful = cut(_linkable(open_texts), "near-linkable")
+    sizes = cut(useful.groupBy("label").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.ceil(F.count_if("outside") / GROUP).alias("blocks")).where("blocks > 0"), "near-blocks")
+    part, block = F.pmod(F.xxhash64("key"), F.col("parts")), F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))
     inside = F.transform(_numbers(F.col("blocks")), lambda b: _places(b, part, False))
-    outside = F.when(F.col("component") != F.col("main"), F.transform(_numbers(parts), lambda p: _places(block, p, True))).otherwise(F.array().cast(PLACE))
-    again = cut(split.join(main, "label").select("key", "label", F.concat(inside, outside).alias("places")), "near-again")
-    return links.union(_compared(weighed.where(F.col("size") > GROUP).select("key", "hashes", "counts").join(again, "key"), _crossed))
+    outside = F.when(F.col("outside"), F.transform(_numbers(F.col("parts")), lambda p: _places(block, p, True))).otherwise(F.array().cast(PLACE))
+    again = cut(useful.join(sizes, "label").select("key", "label", F.concat(inside, outside).alias("places")), "near-again")
+    return links.union(_compared(open_texts.select("key", "hashes", "counts").join(again, "key"), _crossed))
+
+
+#: Most that the inverse shares of two texts in their common shingles add up to, and least share, where they are SIMILAR.
+INVERSES, REST = 1 + 1 / SIMILAR, 1 - SIMILAR
+
+
+def _linkable(texts: DataFrame) -> DataFrame:
+    """key, label and outside of the texts that may have a link from outside their group's largest component.
+
+    Where texts are SIMILAR, their weights in common shingles, cx and cy, have 1 / cx + 1 / cy <= INVERSES. With a text's
+    shingles in order of how many texts of the group have them, rarest first, what stands before the first common
+    shingle is not common, so the bound holds with 1 - before in place of c, and before is REST at most. A text stays if some
+    shingle that others have meets this with the least weight before it among those others. Nothing is
+    emitted for pairs; the rows are shingles that several texts of a group have.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.frombuffer(h, "<i8") for h in batch.column(3).to_pylist()]
+            counts = [np.frombuffer(c, "<u4") for c in batch.column(4).to_pylist()]
+            if not hashes:
+                continue
+            rows = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
+            share = np.concatenate([c / c.sum() for c in counts])
+            columns = [batch.column(k).take(rows) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(hashes)), pa.array(share)], ["key", "label", "outside", "shingle", "share"])
+
+    spelled = texts.select("key", "label", "outside", "hashes", "counts").mapInArrow(spell, "key binary, label binary, outside boolean, shingle long, share double")
+    spelled = cut(spelled, "near-spelled")
+    by = ["label", "shingle"]
+    often = spelled.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("outside").alias("m")).where("n > 1")
+    order = Window.partitionBy("key").orderBy("n", "shingle")
+    known = spelled.join(often, by)
+    # shingles of this text alone come before all others, and so does what rounding may add
+    before = 1 - F.sum("share").over(Window.partitionBy("key")) + F.sum("share").over(order) - F.col("share") - 1e-8
+    early = cut(known.withColumn("before", before).where((F.col("before") <= REST) & (F.col("m") > 0)).select(*by, "key", "outside", "before"), "near-early")
+    least = early.groupBy(*by).agg(F.count("*").alias("rows"), F.min("before").alias("any"), F.min(F.when(F.col("outside"), F.col("before"))).alias("out")).where("rows > 1 AND out IS NOT NULL")
+    partner = F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))
+    met = 1 / (1 - F.col("before")) + 1 / (1 - partner) <= INVERSES
+    return early.join(least, by).where(met).select("key", "label", "outside").distinct()
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and label of every document; label is null for texts without words."""
     spark = docs.sparkSession
     ship(spark)
-    rows = cut(sketch_rows(docs), "near-sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    nodes = cut(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), first.alias("at")).select("key", "sig", "at.doc_id", "at.text_hash"), "near-texts")
-    band_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    bands = nodes.select("key", band_of.alias("band"))
-    often = cut(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1"), "near-buckets")
-    members = cut(bands.join(often, "band").join(nodes.select("key", "sig"), "key"), "near-members")
-    alike = _by_group(members.where(F.col("n") <= GROUP).select("band", "key", "sig"), ["band"]).mapInArrow(_edges(_coarse), EDGES)
-    whole = members.where((F.col("n") > GROUP) & (F.col("key") != F.col("head"))).select(F.col("head").alias("a"), F.col("key").alias("b"))
-    coarse = components(alike.union(whole))
-
-    sizes = cut(coarse.groupBy("label").agg(F.count("*").alias("size")), "near-sizes")
-    # what verification compares: the texts of coarse groups, fetched by their first row
-    found = coarse.join(sizes, "label").withColumnRenamed("node", "key")
-    found = cut(found.join(nodes.select("key", "doc_id", "text_hash"), "key"), "near-found")
-    final = components(_links(docs, found, members))
-    own = rows.select("doc_id", "text_hash", "key")
-    return cut(own.join(final.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label")), "near-labels")
+    with scratch():
+        rows = cut(sketch_rows(docs), "near-sketches")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+        nodes = cut(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), first.alias("at")).select("key", "sig", "at.doc_id", "at.text_hash"), "near-texts")
+        band_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
+        bands = nodes.select("key", band_of.alias("band"))
+        often = cut(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1"), "near-buckets")
+        members = cut(bands.join(often, "band").join(nodes.select("key", "sig"), "key"), "near-members")
+        alike = _by_group(members.where(F.col("n") <= GROUP).select("band", "key", "sig"), ["band"]).mapInArrow(_edges(_coarse), EDGES)
+        whole = members.where((F.col("n") > GROUP) & (F.col("key") != F.col("head"))).select(F.col("head").alias("a"), F.col("key").alias("b"))
+        coarse = components(alike.union(whole))
+
+        sizes = cut(coarse.groupBy("label").agg(F.count("*").alias("size")), "near-sizes")
+        # what verification compares: the texts of coarse groups, fetched by their first row
+        found = coarse.join(sizes, "label").withColumnRenamed("node", "key")
+        found = cut(found.join(nodes.select("key", "doc_id", "text_hash"), "key"), "near-found")
+        final = components(_links(docs, found, members))
+        own = rows.select("doc_id", "text_hash", "key")
+        return cut(own.join(final.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label")), "near-labels", keep=True)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -443,13 +490,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A row is found again by doc_id and its text's hash; rows that repeat both are one document.
     """
-    labelled = _labelled(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at")
-    heads = labelled.where("label is not null").groupBy("label").agg(first).select("at.doc_id", "at.text_hash")
-    empty = labelled.where("label is null").select("doc_id", "text_hash").distinct()
-    # two keys without nulls, so that the join's partitions also serve to leave out repeated rows
     number, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), lambda h: F.xxhash64(h, F.col("doc_id").isNull())
-    kept = cut(heads.union(empty).select(number.alias("_near_id"), text(F.col("text_hash")).alias("_near_text")), "near-kept")
+    with scratch():
+        labelled = _labelled(docs)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at")
+        heads = labelled.where("label is not null").groupBy("label").agg(first).select("at.doc_id", "at.text_hash")
+        empty = labelled.where("label is null").select("doc_id", "text_hash").distinct()
+        # two keys without nulls, so that the join's partitions also serve to leave out repeated rows
+        kept = cut(heads.union(empty).select(number.alias("_near_id"), text(F.col("text_hash")).alias("_near_text")), "near-kept", keep=True)
     keyed = docs.withColumn("_near_id", number).withColumn("_near_text", text(F.xxhash64(F.col("text").cast("string"))))
     return keyed.join(kept, ["_near_id", "_near_text"], "left_semi").dropDuplicates(["_near_id", "_near_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
