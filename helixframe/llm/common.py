@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from bisect import bisect_right, insort
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: What separates words when sizes are counted: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch on its way to Python (long texts make batches of few rows), and of row groups of cut() tables.
+BATCH_KEY, BATCH_BYTES, ROW_GROUP = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which all executors see.
 
-    Where the session names none (a single machine, as in tests) a temporary folder is set once.
+    On a single machine (master local, as in tests) a temporary folder is set once where the session names none.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         kept = getattr(spark, "_helixframe_dir", None)
         if kept is None:
             kept = spark._helixframe_dir = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
@@ -35,13 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/helixframe"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a lost executor costs a re-read, not a re-run."""
+#: Tables that cut() wrote in each open scratch(), innermost last.
+_scratches: list[list[DataFrame]] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: a lost executor costs a re-read, not a re-run.
+
+    A surrounding scratch() deletes it at its end, unless it is to be kept: then the next outer one does.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._helixframe_path = path
+    for owner in (_scratches[:-1] if keep else _scratches)[-1:]:
+        owner.append(out)
     return out
 
 
@@ -52,9 +67,26 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What cut() writes inside is deleted at the end, but for kept tables."""
+    own: list[DataFrame] = []
+    _scratches.append(own)
+    try:
+        yield
+    finally:
+        _scratches.pop()
+    release(*own)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark context."""
+    """Sends this package to the executors, once for each Spark context, and bounds Arrow batches by bytes.
+
+    Batches stay at Spark's default only where the context's configuration names a size.
+    """
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     if getattr(sc, "_helixframe_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
