@@ -5,6 +5,11 @@
 3. secrets: findings of the secret scan are replaced in the text; all documents stay.
 4. mixing: documents are repeated or left out so that sources meet their target weights.
 5. packing: what is left becomes sequences of at most 4096 tokens; one row for each piece.
+
+Contract: a null text is empty and stays unless another row of its doc_id and text does; rows without doc_id go through like
+others; of rows that repeat doc_id and text one stays; ties (equal sizes, scores, class members) are settled by doc_id and the
+text's hash; an empty table gives an empty result; columns of other names, also ones that clash with the operators' own, are
+carried along up to packing, which returns pieces. Each stage's intermediate tables go when its output is written.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import mixing, neardup, packing, secrets, toxicity
-from helixframe.llm.common import cut, table
+from helixframe.llm.common import cut, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
