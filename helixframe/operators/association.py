@@ -14,15 +14,25 @@ FISHER, CHI_SQUARE = "fisher-test", "chi-square-test"
 
 
 def case_control(study: Study, phenotype: str | None = None, cases: list[str] | None = None, controls: list[str] | None = None) -> tuple[list[int], list[int]]:
-    """Positions of cases and controls; where one side is missing it is the rest of the samples."""
+    """Positions of cases and controls; a side that is not given (None) is the rest of the samples. Sides must hold someone."""
     if phenotype:
-        cases = [m.sample for m in study.members if m.phenotype == phenotype]
+        cases = with_phenotype(study, phenotype)
         controls = [m.sample for m in study.members if m.phenotype != phenotype]
     elif not cases and not controls:
         raise HelixError.missing_param("phenotype or sample lists")
-    one, two = study.indexes(cases or []), study.indexes(controls or [])
+    one, two = (None if side is None else study.indexes(side) for side in (cases, controls))
     everyone = range(len(study.samples))
-    return one or [i for i in everyone if i not in set(two)], two or [i for i in everyone if i not in set(one)]
+    one, two = one if one is not None else [i for i in everyone if i not in set(two)], two if two is not None else [i for i in everyone if i not in set(one)]
+    if not one or not two:
+        raise HelixError("Cases and controls must hold one sample each at least")
+    return one, two
+
+
+def with_phenotype(study: Study, phenotype: str) -> list[str]:
+    found = [m.sample for m in study.members if m.phenotype == phenotype]
+    if not found:
+        raise HelixError(f"No sample of study '{study.id}' has phenotype '{phenotype}'")
+    return found
 
 
 def _table(study: Study, cases: list[int], controls: list[int]) -> Column:
@@ -68,7 +78,7 @@ def gwas(df: DataFrame, study: str = "", method: str = FISHER, phenotypes: tuple
     pair = lambda x: (*x, None, None)[:2]
     if phenotypes:
         first, second = pair(phenotypes)
-        of = lambda p: [m.sample for m in chosen.members if m.phenotype == p] if p else None
+        of = lambda p: with_phenotype(chosen, p) if p else None
         sides = case_control(chosen, None, of(first), of(second))
     elif samples:
         sides = case_control(chosen, None, *pair(samples))

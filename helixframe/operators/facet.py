@@ -50,7 +50,7 @@ def parse(facet: str) -> list[Part]:
     for text in filter(None, (p.strip() for p in facet.split(">>"))):
         if m := re.fullmatch(r"(\w+)\((.+)\)", text):
             if m[1] not in _AGGREGATES:
-                raise HelixError(f"Unknown aggregation function: {m[1]}")
+                raise HelixError(f"Aggregation function unknown: {m[1]}")
             parts.append(Part(AGGREGATION, m[2], fn=m[1]))
         elif m := re.fullmatch(r"(.+)\[(.+)\.\.(.+)\]:(.+)", text):
             parts.append(Part(RANGE, m[1], low=float(m[2]), high=float(m[3]), step=float(m[4])))
@@ -61,7 +61,7 @@ def parse(facet: str) -> list[Part]:
     if any(p.kind == AGGREGATION for p in parts[:-1]):
         raise HelixError(f"In nested facets, aggregations must be in last place: {facet}")
     if len({p.name for p in parts}) < len(parts):
-        raise HelixError(f"In nested facets, repeated facets are not allowed: {facet}")
+        raise HelixError(f"In nested facets, repeating facets are not allowed: {facet}")
     return parts
 
 

@@ -108,13 +108,15 @@ def compound_heterozygote(df: DataFrame, father: str, mother: str, child: str, s
 def tdt(df: DataFrame, phenotype: str, study: str = "") -> DataFrame:
     """Transmission test over affected children with both parents; adds chiSquare, pValue, oddRatio, freedomDegrees, t1, t2.
 
-    Trios with a Mendelian error or without heterozygous parent do not count. t1 and t2 are what
-    heterozygous parents hand down: reference and alternate alleles not transmitted, and the reverse.
+    t1 and t2 are what heterozygous parents hand down: reference and alternate alleles. Trios with a Mendelian error, a
+    missing genotype or without heterozygous parent do not count; of several affected siblings each counts with its own
+    genotype. On X a son has nothing from his father: he counts by his mother alone, and not at all where he is heterozygous.
     """
     chosen = metadata_of(df).first(study)
     known = set(chosen.samples)
     trios = [(chosen.index(m.sample), chosen.index(m.father), chosen.index(m.mother), m.sex.upper() == "MALE") for m in chosen.members if m.phenotype == phenotype and m.father in known and m.mother in known]
     gt = lambda i: F.get(F.get(G.study_of(F.col("studies"), chosen.id)["samplesData"], F.lit(i)), F.lit(0))
+    on_x = F.col("chromosome").isin("X", "chrX")
     t1, t2 = F.lit(0), F.lit(0)
     for c, f, m, male in trios:
         code = mendelian_code(gt(f), gt(m), gt(c), F.col("chromosome"), F.lit(male))
@@ -123,6 +125,10 @@ def tdt(df: DataFrame, phenotype: str, study: str = "") -> DataFrame:
         valid = (code == 0) & dc.isNotNull() & df_.isNotNull() & dm.isNotNull() & (het > 0)
         other = F.when(df_ == 1, dm).otherwise(df_)  # the homozygous parent of a trio with one heterozygous
         alt = F.when(het == 2, dc).otherwise(dc - (other / 2).cast("int"))  # alternate alleles from heterozygous parents
+        if male:
+            het = F.when(on_x, (dm == 1).cast("int")).otherwise(het)
+            valid = F.when(on_x, (code == 0) & (dc != 1) & (het > 0)).otherwise(valid)
+            alt = F.when(on_x, (dc / 2).cast("int")).otherwise(alt)
         t2 = t2 + F.coalesce(F.when(valid, alt), F.lit(0))
         t1 = t1 + F.coalesce(F.when(valid, het - alt), F.lit(0))
     out = df.withColumn("t1", t1.cast("int")).withColumn("t2", t2.cast("int"))

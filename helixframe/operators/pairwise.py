@@ -223,7 +223,8 @@ def f_tail(f: float, d1: int, d2: int) -> float:
 
 def cmc(df: DataFrame, group: str, phenotype: str | None = None, cases: list[str] | None = None, controls: list[str] | None = None, study: str = "", maf: float = 0.05, permutations: int = 100, seed: int = 1) -> DataFrame:
     """Rare-variant burden of each group (a column, such as a gene): Hotelling's T-square of the common variants' doses
-    and one indicator of carrying any rare one; p from F and from seeded permutations of the samples."""
+    and one indicator of carrying any rare one (a single rare variant keeps its dose); p from F and from seeded
+    permutations of the samples."""
     from .association import case_control
 
     chosen = metadata_of(df).first(study)
@@ -234,7 +235,7 @@ def cmc(df: DataFrame, group: str, phenotype: str | None = None, cases: list[str
     def test(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame["g"].to_numpy()).astype(float).T
         rare = x.mean(0) / 2 < maf
-        design = np.concatenate([(x[:, rare] > 0).any(1)[:, None].astype(float)] * bool(rare.any()) + [x[:, ~rare]], 1)
+        design = np.concatenate([x[:, ~rare], (x[:, rare] > 0).any(1)[:, None].astype(float)], 1) if rare.sum() > 1 else x
         t2, f = hotelling(design[:n1], design[n1:])
         rng = np.random.default_rng(seed)
         hits = 0
