@@ -203,6 +203,10 @@ def register(spark: SparkSession, df: DataFrame) -> None:
                 parameters = parameters.replace(f"{old} STRING", f"{new} STRING")
                 body = _rename(body, old, new)
         create(name, parameters, returns, body)
+    listed = "transform(split(wanted_names, ','), x -> trim(x))"
+    fields = ", ".join(f"'{f.name}', IF(array_contains({listed}, '{f.name}'), annotation.`{f.name}`, NULL)" for f in types["annotation"].fields)
+    create("include", "annotation {A}, wanted_names STRING", "{A}", f"named_struct({fields})")
+    create("include_studies", "studies {S}, wanted_names STRING", "{S}", f"filter(studies, s -> array_contains({listed}, s.studyId))")
     places = [(st.id, m, i) for st in metadata_of(df).studies.values() for i, m in enumerate(st.samples)]
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     known = "map(" + ", ".join(f"{quote(x)}, map({', '.join(f'{quote(m)}, {i}' for y, m, i in places if y == x)})" for x in dict.fromkeys(p[0] for p in places)) + ")"

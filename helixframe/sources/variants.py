@@ -6,6 +6,7 @@ import json
 import logging
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType
@@ -22,8 +23,10 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     if name.endswith(("avro", "avro.gz")):
         try:
             df = spark.read.format("avro").load(path)
-        except Exception as missing:
-            raise HelixError.no_avro_source(path) from missing
+        except AnalysisException as error:
+            if "avro" in str(error).lower() and "PATH_NOT_FOUND" not in str(error):
+                raise HelixError.no_avro_source(path) from error
+            raise
     elif name.endswith("parquet"):
         df = spark.read.parquet(path)
     else:
@@ -90,12 +93,25 @@ def vcf(df: DataFrame, study: str = "", file_id: str | None = None) -> DataFrame
     )
 
 
+def vcf_header(df: DataFrame, study: str = "") -> list[str]:
+    """Header lines for the fields that vcf() fills, ending with the names of its columns."""
+    return [
+        "##fileformat=VCFv4.2",
+        '##INFO=<ID=AC,Number=A,Type=Integer,Description="Alternate alleles in called genotypes">',
+        '##INFO=<ID=AF,Number=A,Type=Float,Description="Alternate allele frequency">',
+        '##INFO=<ID=AN,Number=1,Type=Integer,Description="Alleles in called genotypes">',
+        '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+        "\t".join(vcf(df, study).columns),
+    ]
+
+
 def write_vcf(df: DataFrame, path: str, study: str = "") -> None:
-    """A folder of VCF body lines (tab separated), the header in a part of its own beside it."""
+    """A folder of VCF text whose first part is the header: its parts in order of name are one VCF file."""
     table = vcf(df, study)
     info = F.concat_ws(";", F.transform(F.map_entries("INFO"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     cells = [F.coalesce((info if c == "INFO" else F.col(f"`{c}`").cast("string")), F.lit(".")) for c in table.columns]
-    table.select(F.concat_ws("\t", *cells).alias("value")).write.text(path)
+    head = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, vcf_header(df, study)))).alias("value"))
+    head.union(table.select(F.concat_ws("\t", *cells).alias("value"))).write.text(path)
 
 
 def ped(df: DataFrame, study: str = "") -> list[str]:
