@@ -47,6 +47,12 @@ def r6(column, name: str | None = None):
     return out.alias(name or column) if name or isinstance(column, str) else out
 
 
+def ln5(column, name: str):
+    """Natural logarithm of a p-value to five places: compares small p-values by their relative error."""
+    c = F.col(column) if isinstance(column, str) else column
+    return (F.round(F.log(c.cast("double")), 5) + F.lit(0.0)).alias(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -292,6 +298,28 @@ def _(df):
     return df.select("id", kept["id"].alias("annotation_id"), kept["conservation"].isNull().alias("no_scores"), F.size(V.include_studies("studies", f"{STUDY},other")).alias("studies"))
 
 
+@query("include_sql", f"SELECT id, 'rs' || k AS annotation_id, true AS no_scores, 1 AS studies, 0 AS others FROM v")
+def _(df):
+    V.register(df.sparkSession, df)
+    df.createOrReplaceTempView("variants_include")
+    return df.sparkSession.sql(f"SELECT id, include(annotation, 'id, consequenceTypes').id AS annotation_id, include(annotation, 'id').conservation IS NULL AS no_scores, size(include_studies(studies, '{STUDY}, other')) AS studies, size(include_studies(studies, 'other')) AS others FROM variants_include")
+
+
+@query("rollup_and_top", "SELECT chromosome, type, n FROM (SELECT chromosome, type, count(*) AS n FROM v GROUP BY ROLLUP (chromosome, type)) ORDER BY n DESC, chromosome NULLS LAST, type NULLS LAST LIMIT 20")
+def _(df):
+    counted = df.rollup("chromosome", "type").agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), F.col("chromosome").asc_nulls_last(), F.col("type").asc_nulls_last()).limit(20)
+
+
+@query("array_vectors", "SELECT id, [x, x + y, x + y + w] AS sums, [x, least(x, y), least(x, y, w)] AS low, [x, greatest(x, y), greatest(x, y, w)] AS high, list_transform([x, y, w], lambda e: least(5.0::DOUBLE, e)) AS bounded FROM (SELECT id, (k % 7)::DOUBLE AS x, (k % 11)::DOUBLE AS y, z::DOUBLE AS w FROM v)")
+def _(df):
+    from ..functions import vectors
+
+    k = F.substring("id", 2, 20).cast("long")
+    a = df.select("id", F.array((k % 7).cast("double"), (k % 11).cast("double"), V.functional("annotation", "cadd_raw")).alias("a"))
+    return a.select("id", vectors.cumsum(F.col("a")).alias("sums"), vectors.cummin(F.col("a")).alias("low"), vectors.cummax(F.col("a")).alias("high"), vectors.pmin(5.0, F.col("a")).alias("bounded"))
+
+
 # --- statistics ----------------------------------------------------------------------------------------------------
 
 def _variant_stats(cohort: str, where: str, missing: bool) -> str:
@@ -383,23 +411,31 @@ def _(df):
     return stats.impute_sex(stats.variant_stats(df), chromosome_x="22", include_pseudoautosomal=True).select(F.col("SampleId").alias("sample"), F.col("ImputedSex").alias("sex"))
 
 
+@query("impute_sex_without_par", f", {_MAF}, i AS (SELECT s, (count(*) FILTER (d <> 1))::DOUBLE AS obs, sum(1 - 2 * maf * (1 - maf)) AS exp, count(*) AS n FROM l JOIN m USING (id) WHERE d IS NOT NULL AND maf > 0 AND chromosome = '22' AND (start < 60001 OR start BETWEEN 300000 AND 1200000 OR start > 1500000) GROUP BY s) SELECT 'S' || lpad(s::VARCHAR, 2, '0') AS sample, round((obs - exp) / (n - exp), 4) AS f, n, CASE WHEN (obs - exp) / (n - exp) < 0.2 THEN 'FEMALE' WHEN (obs - exp) / (n - exp) > 0.8 THEN 'MALE' ELSE 'UNDETERMINED' END AS sex FROM i")
+def _(df):
+    from ..metadata import attach
+
+    found = stats.impute_sex(attach(stats.variant_stats(df).where("chromosome = '22'").withColumn("chromosome", F.lit("X")), metadata_of(df)), par1="X:60001-300000", par2="X:1200000-1500000")
+    return found.select(F.col("SampleId").alias("sample"), F.round("F", 4).alias("f"), F.col("GenotypesCount").alias("n"), F.col("ImputedSex").alias("sex"))
+
+
 # --- association ---------------------------------------------------------------------------------------------------
 
 _ABCD = "t AS (SELECT id, coalesce(sum(2 - d) FILTER (s < 8), 0)::DOUBLE AS a, coalesce(sum(2 - d) FILTER (s >= 8), 0)::DOUBLE AS b, coalesce(sum(d) FILTER (s < 8), 0)::DOUBLE AS c, coalesce(sum(d) FILTER (s >= 8), 0)::DOUBLE AS d FROM l GROUP BY id)"
 _CHI = "(a + b + c + d) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d))"
 _OR = "CASE WHEN b * c > 0 THEN round(a * d / (b * c), 6) WHEN a * d > 0 THEN 'inf'::DOUBLE ELSE NULL END"
-_P = "CASE WHEN x IS NULL THEN NULL ELSE round(CASE WHEN sqrt(x / 2) < 2.5 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda n: power(-1, n) * exp((2 * n + 1) * ln(greatest(sqrt(x / 2), 1e-300)) - lgamma(n + 1)) / (2 * n + 1))) ELSE exp(-x / 2) / (sqrt(pi()) * (sqrt(x / 2) + list_reduce([0.0::DOUBLE] || list_transform(range(60, 0, -1), lambda k: k::DOUBLE), lambda f, k: (k / 2) / (sqrt(x / 2) + f)))) END, 6) END"
+_P = "CASE WHEN x IS NULL THEN NULL ELSE round(ln(CASE WHEN sqrt(x / 2) < 2.5 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda n: power(-1, n) * exp((2 * n + 1) * ln(greatest(sqrt(x / 2), 1e-300)) - lgamma(n + 1)) / (2 * n + 1))) ELSE exp(-x / 2) / (sqrt(pi()) * (sqrt(x / 2) + list_reduce([0.0::DOUBLE] || list_transform(range(60, 0, -1), lambda k: k::DOUBLE), lambda f, k: (k / 2) / (sqrt(x / 2) + f)))) END), 5) + 0.0 END"
 
 
 def _no_nan(c):
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
-@query("chi_square", f", {_ABCD}, u AS (SELECT id, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN {_CHI} END AS x, {_OR} AS odds FROM t) SELECT id, round(x, 6) AS chi, {_P} AS p, odds FROM u")
+@query("chi_square", f", {_ABCD}, u AS (SELECT id, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN {_CHI} END AS x, {_OR} AS odds FROM t) SELECT id, round(x, 6) AS chi, {_P} AS ln_p, odds FROM u")
 def _(df):
     a = "Chi_square__p_value__odd_ratio"
     out = association.chi_square(df, cases=CASES, controls=CONTROLS)
-    return out.select("id", r6(_no_nan(F.col(a)[0]), "chi"), r6(_no_nan(F.col(a)[1]), "p"), r6(_no_nan(F.col(a)[2]), "odds"))
+    return out.select("id", r6(_no_nan(F.col(a)[0]), "chi"), ln5(_no_nan(F.col(a)[1]), "ln_p"), r6(_no_nan(F.col(a)[2]), "odds"))
 
 
 @query("gwas_chi", f", {_ABCD}, u AS (SELECT id, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN {_CHI} END AS x FROM t) SELECT id, round(x, 6) AS chi FROM u")
@@ -407,29 +443,59 @@ def _(df):
     return association.gwas(df, method=association.CHI_SQUARE, samples=(CASES, CONTROLS)).select("id", r6(_no_nan(F.col("chiSquare")), "chi"))
 
 
+def _sides(first: str, second: str) -> str:
+    sums = ", ".join(f"coalesce(sum({v}) FILTER ({w}), 0)::DOUBLE AS {n}" for n, v, w in (("a", "2 - d", first), ("b", "2 - d", second), ("c", "d", first), ("d", "d", second)))
+    return f", t AS (SELECT id, {sums} FROM l GROUP BY id), u AS (SELECT id, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN {_CHI} END AS x FROM t) SELECT id, round(x, 6) AS chi, {_P} AS ln_p FROM u"
+
+
+@query("gwas_phenotype", _sides("s = 2 OR s BETWEEN 4 AND 7", "s >= 8"))
+def _(df):
+    return association.gwas(df, method=association.CHI_SQUARE, phenotypes=("P1", "P2")).select("id", r6(_no_nan(F.col("chiSquare")), "chi"), ln5(_no_nan(F.col("pValue")), "ln_p"))
+
+
+@query("gwas_cohort", _sides("s % 2 = 0", "s % 2 = 1"))
+def _(df):
+    return association.gwas(df, method=association.CHI_SQUARE, cohorts=("half", None)).select("id", r6(_no_nan(F.col("chiSquare")), "chi"), ln5(_no_nan(F.col("pValue")), "ln_p"))
+
+
+@query("linear_regression", "SELECT round(regr_slope(score, z::DOUBLE), 6) AS slope, round(regr_intercept(score, z::DOUBLE), 4) AS intercept FROM v")
+def _(df):
+    numbers = df.select("score", V.functional("annotation", "cadd_raw").alias("z"))
+    model = association.linear_regression(numbers, "score", "z", iterations=100, regularisation=0.0, elastic_net=0.0)
+    return df.sparkSession.range(1).select(F.round(F.lit(float(model.coefficients[0])), 6).alias("slope"), F.round(F.lit(float(model.intercept)), 4).alias("intercept"))
+
+
+@query("logistic_regression", ", c AS (SELECT type = 'INDEL' AS x, count(*) FILTER (pass) / count(*) FILTER (NOT pass) AS odds FROM v GROUP BY 1) SELECT round(ln(max(odds) FILTER (x)) - ln(max(odds) FILTER (NOT x)), 3) AS slope, round(ln(max(odds) FILTER (NOT x)), 3) AS intercept FROM c")
+def _(df):
+    """With one indicator the maximum of likelihood is a difference of log-odds."""
+    passed = F.array_contains(V.file_filter("studies", FILE), "PASS").cast("double")
+    model = association.logistic_regression(df.select(passed.alias("y"), (F.col("type") == "INDEL").cast("double").alias("x")), "y", "x", iterations=200, regularisation=0.0, elastic_net=0.0)
+    return df.sparkSession.range(1).select(F.round(F.lit(float(model.coefficients[0])), 3).alias("slope"), F.round(F.lit(float(model.intercept)), 3).alias("intercept"))
+
+
 def _fisher(low: str, high: str, keep: str) -> str:
     logp = lambda x: f"lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma({x} + 1) - lgamma(a + b - {x} + 1) - lgamma(a + c - {x} + 1) - lgamma(d - a + {x} + 1)"
-    return f", {_ABCD} SELECT id, round(least(1, list_sum(list_transform(range(({low})::BIGINT, ({high})::BIGINT + 1), lambda x: CASE WHEN {keep.format(logp=logp('x'), seen=logp('a'))} THEN exp({logp('x')}) ELSE 0 END))), 6) AS p FROM t"
+    return f", {_ABCD} SELECT id, round(ln(least(1, list_sum(list_transform(range(({low})::BIGINT, ({high})::BIGINT + 1), lambda x: CASE WHEN {keep.format(logp=logp('x'), seen=logp('a'))} THEN exp({logp('x')}) ELSE 0 END)))), 5) + 0.0 AS ln_p FROM t"
 
 
 @query("fisher", _fisher("greatest(0, a - d)", "least(a + b, a + c)", "{logp} <= {seen} + 1e-9"))
 def _(df):
-    return association.fisher(df, cases=CASES, controls=CONTROLS).select("id", r6(F.col("p_value__odd_ratio")[0], "p"))
+    return association.fisher(df, cases=CASES, controls=CONTROLS).select("id", ln5(F.col("p_value__odd_ratio")[0], "ln_p"))
 
 
 @query("fisher_less", _fisher("greatest(0, a - d)", "a", "true"))
 def _(df):
-    return association.fisher(df, cases=CASES, controls=CONTROLS, mode=T.LESS).select("id", r6(F.col("p_value__odd_ratio")[0], "p"))
+    return association.fisher(df, cases=CASES, controls=CONTROLS, mode=T.LESS).select("id", ln5(F.col("p_value__odd_ratio")[0], "ln_p"))
 
 
 @query("fisher_greater", _fisher("a", "least(a + b, a + c)", "true"))
 def _(df):
-    return association.fisher(df, cases=CASES, controls=CONTROLS, mode=T.GREATER).select("id", r6(F.col("p_value__odd_ratio")[0], "p"))
+    return association.fisher(df, cases=CASES, controls=CONTROLS, mode=T.GREATER).select("id", ln5(F.col("p_value__odd_ratio")[0], "ln_p"))
 
 
 @query("gwas_fisher_complement", _fisher("greatest(0, a - d)", "least(a + b, a + c)", "{logp} <= {seen} + 1e-9"))
 def _(df):
-    return association.gwas(df, samples=(CASES, None)).select("id", r6("pValue", "p"))
+    return association.gwas(df, samples=(CASES, None)).select("id", ln5("pValue", "ln_p"))
 
 
 @query("hwe", """, c AS (SELECT id, count(*) FILTER (d = 0) AS aa, count(*) FILTER (d = 1) AS ab, count(*) FILTER (d = 2) AS bb FROM l GROUP BY id),
@@ -437,9 +503,9 @@ def _(df):
   h AS (SELECT id, ab, rare, n, unnest(range(rare % 2, rare + 1, 2)) AS h FROM e),
   w AS (SELECT id, ab, h, h * ln(2) - lgamma(h + 1) - lgamma((rare - h) / 2 + 1) - lgamma((2 * n - rare - h) / 2 + 1) AS lp FROM h),
   z AS (SELECT *, max(lp) OVER (PARTITION BY id) AS top, max(CASE WHEN h = ab THEN lp END) OVER (PARTITION BY id) AS seen FROM w)
-  SELECT id, round(least(1, sum(CASE WHEN lp <= seen + 1e-9 THEN exp(lp - top) ELSE 0 END) / sum(exp(lp - top))), 6) AS hwe FROM z GROUP BY id""")
+  SELECT id, round(ln(least(1, sum(CASE WHEN lp <= seen + 1e-9 THEN exp(lp - top) ELSE 0 END) / sum(exp(lp - top)))), 5) + 0.0 AS ln_hwe FROM z GROUP BY id""")
 def _(df):
-    return association.hardy_weinberg(df).select("id", r6("HWE", "hwe"))
+    return association.hardy_weinberg(df).select("id", ln5("HWE", "ln_hwe"))
 
 
 _PV = "p AS (SELECT k, round(((k * 7919) % 1000) / 1000.0::DOUBLE, 3) AS p FROM v), n AS (SELECT *, rank() OVER (ORDER BY p) AS lo, count(*) OVER (ORDER BY p) AS hi, count(*) OVER () AS m FROM p)"
@@ -478,6 +544,41 @@ def _(df):
     return family.tdt(df, "P1").select("id", "t1", "t2", r6("chiSquare", "chi"), r6("oddRatio", "odds"))
 
 
+#: Children, fathers, mothers and whether the child is a son, where three couples have five affected children.
+_TRIOS = ((2, 0, 1, True), (3, 0, 1, False), (6, 4, 5, True), (7, 4, 5, False), (10, 8, 9, True))
+
+
+def _three_couples(df: DataFrame) -> DataFrame:
+    """The variants with _TRIOS as their pedigrees, and chromosomes 3 and 4 as X."""
+    from ..metadata import Member, Metadata, Study, attach
+
+    parents = {c: (f, m, male) for c, f, m, male in _TRIOS}
+    members = [Member(n, f"F{i}", *(NAMES[x] for x in parents[i][:2]), "MALE" if parents[i][2] else "FEMALE", "P1") if i in parents else Member(n, f"F{i}", "", "", "MALE", "P0") for i, n in enumerate(NAMES)]
+    on_x = df.withColumn("chromosome", F.when(F.col("chromosome").isin("3", "4"), "X").otherwise(F.col("chromosome")))
+    return attach(on_x, Metadata({STUDY: Study(STUDY, members, {}, {FILE: NAMES})}))
+
+
+def _tdt_sql() -> str:
+    trios = ", ".join(f"({c}, {f}, {m}, {str(male).lower()})" for c, f, m, male in _TRIOS)
+    return f""", trio(cs, fs, ms, male) AS (VALUES {trios}),
+      g AS (SELECT c.id, c.chromosome IN ('3', '4') AND male AS sonx, f.d AS f, m.d AS m, c.d AS c FROM trio JOIN l c ON c.s = cs JOIN l f ON f.id = c.id AND f.s = fs JOIN l m ON m.id = c.id AND m.s = ms),
+      n AS (SELECT id, CASE WHEN sonx THEN (m = 1)::INTEGER ELSE (f = 1)::INTEGER + (m = 1)::INTEGER END AS het,
+              CASE WHEN sonx THEN c // 2 WHEN f = 1 AND m = 1 THEN c WHEN f = 1 THEN c - m // 2 ELSE c - f // 2 END AS alt,
+              CASE WHEN sonx THEN m = 1 AND c IN (0, 2) ELSE f IS NOT NULL AND m IS NOT NULL AND c IS NOT NULL AND (f = 1 OR m = 1) AND ({_CODE}) = 0 END AS valid FROM g),
+      y AS (SELECT id, coalesce(sum(het - alt) FILTER (valid), 0)::INTEGER AS t1, coalesce(sum(alt) FILTER (valid), 0)::INTEGER AS t2 FROM n GROUP BY id),
+      u AS (SELECT *, CASE WHEN t1 + t2 > 0 THEN (t1 - t2) * (t1 - t2) / (t1 + t2)::DOUBLE END AS x FROM y)"""
+
+
+@query("tdt_siblings_and_x", f"{_tdt_sql()} SELECT id, t1, t2, coalesce(round(x, 6), -1) AS chi, CASE WHEN t2 > 0 THEN round(t1 / t2::DOUBLE, 6) ELSE -1 END AS odds FROM u")
+def _(df):
+    return family.tdt(_three_couples(df), "P1").select("id", "t1", "t2", r6("chiSquare", "chi"), r6("oddRatio", "odds"))
+
+
+@query("tdt_p", f"{_tdt_sql()} SELECT id, {_P} AS ln_p FROM u WHERE x IS NOT NULL")
+def _(df):
+    return family.tdt(_three_couples(df), "P1").where("chiSquare >= 0").select("id", ln5("pValue", "ln_p"))
+
+
 @query("compound_het", f""", {_TRIO}, x AS (SELECT *, CASE WHEN c = 1 AND f = 1 AND m = 0 THEN 1 WHEN c = 1 AND m = 1 AND f = 0 THEN 2 END AS parent, chromosome || ':' || start || ':' || reference || ':' || alternate AS variant FROM t),
   g AS (SELECT variant, parent, gene FROM x WHERE parent IS NOT NULL UNION SELECT variant, parent, gene2 FROM x WHERE parent IS NOT NULL AND gene2 <> ''),
   n AS (SELECT gene, count(*) AS n FROM g GROUP BY gene HAVING count(*) FILTER (parent = 1) > 0 AND count(*) FILTER (parent = 2) > 0)
@@ -504,6 +605,28 @@ def _(df):
     return family.mode_of_inheritance(attach(on_x, metadata_of(df)), "F1", "x_Linked_Biallelic", "P1").select("id")
 
 
+def _moi(name: str, mode: str, where: str, chromosome: str = "", **options) -> None:
+    """A mode on family F1: f, m and b are its unaffected father, mother and daughter, c the affected son."""
+
+    @query(name, f", {_TRIO} SELECT id FROM t WHERE {where}" + (" AND chromosome = '3'" if chromosome else ""))
+    def _(df):
+        if chromosome:
+            from ..metadata import attach
+
+            df = attach(df.where("chromosome = '3'").withColumn("chromosome", F.lit(chromosome)), metadata_of(df))
+        return family.mode_of_inheritance(df, "F1", mode, "P1", **options).select("id")
+
+
+_moi("moi_xlinked_monoallelic", "xLinkedMonoallelic", "c = 2 AND f = 0 AND m = 0 AND b = 0", "X")
+_moi("moi_xlinked_monoallelic_incomplete", "xLinkedMonoallelic", "c = 2 AND f IN (0, 2) AND m IN (0, 1) AND b IN (0, 1)", "X", incomplete_penetrance=True)
+_moi("moi_xlinked_biallelic_incomplete", "xLinkedBiallelic", "c = 2 AND f IN (0, 2) AND m IN (1, 2) AND b IN (0, 1, 2)", "X", incomplete_penetrance=True)
+_moi("moi_ylinked", "yLinked", "c IN (1, 2) AND f = 0 AND coalesce(m, 0) = 0 AND coalesce(b, 0) = 0", "Y")
+_moi("moi_ylinked_incomplete", "yLinked", "c IN (1, 2) AND f IN (0, 2) AND coalesce(m, 0) = 0 AND coalesce(b, 0) = 0", "Y", incomplete_penetrance=True)
+_moi("moi_dominant_incomplete", "monoallelic", "c IN (1, 2) AND f IN (0, 1) AND m IN (0, 1) AND b IN (0, 1)", incomplete_penetrance=True)
+_moi("moi_recessive_incomplete", "recessive", "c = 2 AND f IN (1, 2) AND m IN (1, 2) AND b IN (0, 1, 2)", incomplete_penetrance=True)
+_moi("moi_dominant_missing_ref", "dominant", "c IN (1, 2) AND coalesce(f, 0) = 0 AND coalesce(m, 0) = 0 AND coalesce(b, 0) = 0", missing_as_reference=True)
+
+
 # --- pairs of samples ----------------------------------------------------------------------------------------------
 
 def _ibs(where: str = "true", skip: str = "true") -> str:
@@ -565,6 +688,39 @@ def _(df):
     return pairwise.pca(df).select("sampleId", F.transform(vector_to_array("PCA"), lambda x: F.round(x, 4)).alias("scores"))
 
 
+@query("pca_products", f""", m AS (SELECT id, avg(d) AS mean FROM l GROUP BY id HAVING count(d) > 0), x AS (SELECT id, s, coalesce(d, mean) - mean AS x FROM l JOIN m USING (id))
+  SELECT 'S' || lpad(a.s::VARCHAR, 2, '0') AS one, 'S' || lpad(b.s::VARCHAR, 2, '0') AS two, round(sum(a.x * b.x), 3) + 0.0 AS product FROM x a JOIN x b ON a.id = b.id AND a.s <= b.s GROUP BY a.s, b.s""")
+def _(df):
+    """All components together give back the products of the centred genotypes, whatever the components' signs."""
+    from pyspark.ml.functions import vector_to_array
+
+    scores = pairwise.pca(df, k=len(NAMES)).select("sampleId", vector_to_array("PCA").alias("x"))
+    a, b = scores.select(F.col("sampleId").alias("one"), F.col("x").alias("a")), scores.select(F.col("sampleId").alias("two"), F.col("x").alias("b"))
+    product = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, y: t + y)
+    return a.join(b, F.col("one") <= F.col("two")).select("one", "two", (F.round(product, 3) + F.lit(0.0)).alias("product"))  # samples only, one row each
+
+
+def _cmc_sql(by: str) -> str:
+    return f""", g AS (SELECT {by} AS grp, s, count(*) AS n, sum(coalesce(d, 0)) AS dose FROM l GROUP BY ALL), y AS (SELECT grp, n, s, CASE WHEN n > 1 THEN (dose > 0)::INTEGER ELSE dose END AS y FROM g),
+      t AS (SELECT grp, n, avg(y) FILTER (s < 8) - avg(y) FILTER (s >= 8) AS diff, (7 * var_samp(y) FILTER (s < 8) + 8 * var_samp(y) FILTER (s >= 8)) / 15 AS pooled FROM y GROUP BY ALL)
+      SELECT grp, n AS variants, n AS rare, round(72 / 17.0::DOUBLE * diff * diff / greatest(pooled, 1e-8), 4) AS t2 FROM t"""
+
+
+def _cmc(df: DataFrame, by) -> DataFrame:
+    tested = pairwise.cmc(df.withColumn("_by", by), "_by", cases=CASES, controls=CONTROLS, maf=1.1, permutations=1)
+    return tested.select(F.col("group").alias("grp"), "variants", "rare", F.round("t2", 4).alias("t2"))
+
+
+@query("cmc_single", _cmc_sql("id"))
+def _(df):
+    return _cmc(df, F.col("id"))
+
+
+@query("cmc_collapsed", _cmc_sql("gene || ':' || chromosome"))
+def _(df):
+    return _cmc(df, F.concat_ws(":", "gene", "chromosome"))
+
+
 @query("cmc")
 def _(df):
     return pairwise.cmc(df, "biotype", cases=CASES, controls=CONTROLS)

@@ -105,7 +105,7 @@ def test_histogram_types(df):
 def test_facets(df):
     with pytest.raises(HelixError, match="In nested facets, aggregations must be in last place"):
         facet.parse("biotype>>avg(gerp)>>type")
-    with pytest.raises(HelixError, match="Unknown aggregation"):
+    with pytest.raises(HelixError, match="Aggregation function unknown"):
         facet.parse("mode(gerp)")
     assert facet.facet(df, "").columns == []
     root = facet.tree(facet.facet(df, "type>>chromosome[1,2]>>avg(gerp)"))
@@ -172,6 +172,44 @@ def test_gwas_sides(df):
     assert {"chiSquare", "pValue", "oddRatio"} <= set(association.gwas(df, method="chi-square-test", phenotypes=("P1", "P2")).columns)
 
 
+def test_gwas_refuses_empty_sides(df):
+    with pytest.raises(HelixError, match="no_such_phenotype"):
+        association.gwas(df, phenotypes=("P1", "no_such_phenotype"))
+    with pytest.raises(HelixError, match="one sample each"):
+        association.gwas(df, samples=(S.CASES, []))
+    with pytest.raises(HelixError, match="one sample each"):
+        association.case_control(S.metadata().study(), cases=S.NAMES)
+
+
+def test_transmission_on_x(spark):
+    """A son has his one X from his mother; a daughter has one of each."""
+    cases = [("0/0", "1/1", "0/1", "X", "MALE"), ("1/1", "0/0", "0/1", "X", "MALE"), ("0/1", "0/0", "0/1", "X", "MALE"), ("0/0", "0/1", "0/0", "X", "MALE"), ("0/1", "1/1", "0/1", "X", "FEMALE"), ("0/0", "0/1", "0/1", "2", "MALE")]
+    want = [(1, 0), (0, 1), (0, 0), (0, 0), (1, 0), (2, 0)]
+    for (child, father, mother, chromosome, sex), counts in zip(cases, want, strict=True):
+        row = spark.createDataFrame([(chromosome, [("s", [[child], [father], [mother]])])], "chromosome string, studies array<struct<studyId:string,samplesData:array<array<string>>>>")
+        members = [M.Member("c", "f", "p", "m", sex, "ill"), M.Member("p"), M.Member("m")]
+        got = family.tdt(M.attach(row, M.Metadata({"s": M.Study("s", members)})), "ill").first()
+        assert (got["t1"], got["t2"]) == counts, (child, father, mother, sex)
+
+
+def test_vectors(spark):
+    from helixframe.functions import vectors as X
+
+    a = F.col("a")
+    row = spark.createDataFrame([([3.0, 1.0, 2.0, 1.0],), ([],)], "a array<double>").select(X.order(a), X.order(a, True), X.ordered(a, X.order(a)), X.min_index(a), X.max_index(a), X.pmax(2.0, a), X.finite_min(F.concat(a, F.array(F.lit(float("-inf"))))), X.finite_max(a)).collect()
+    assert list(row[0]) == [[1, 3, 2, 0], [0, 2, 1, 3], [1.0, 1.0, 2.0, 3.0], 1, 0, [3.0, 2.0, 2.0, 2.0], 1.0, 3.0]
+    assert list(row[1]) == [[], [], [], None, None, [], None, None]
+
+
+def test_rewrite_and_included_studies(spark, df, tmp_path):
+    df.select("id", "start").write.parquet(f"{tmp_path}/a")
+    IO.rewrite(spark, f"{tmp_path}/a", "id string, start int, more string", f"{tmp_path}/b")
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert back.columns == ["id", "start", "more"] and back.count() == df.count() and back.where("more IS NOT NULL").count() == 0
+    kept = df.select(F.size(V.include_studies("studies", "other")).alias("none"), F.size(V.include_studies("studies", f"{S.STUDY}, x")).alias("one")).distinct().collect()
+    assert [tuple(r) for r in kept] == [(0, 1)]
+
+
 def test_regressions(df):
     rows = df.select(F.length("gene").cast("double").alias("y"), "score", (F.col("score") > 909).cast("double").alias("big"))
     assert association.linear_regression(rows, "y", "score").coefficients.size == 1
@@ -185,7 +223,10 @@ def test_sinks(spark, df, tmp_path):
     IO.write_json(stats.variant_set_stats(df), f"{tmp_path}/set.json")
     assert json.loads((tmp_path / "set.json").read_text())[0]["numVariants"] == df.count()
     IO.write_vcf(df, f"{tmp_path}/vcf")
-    assert len(spark.read.text(f"{tmp_path}/vcf").first()[0].split("\t")) == 9 + 17
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "vcf").glob("part-*"))).splitlines()
+    head = [line for line in lines if line.startswith("#")]
+    assert head == lines[: len(head)] and head[0] == "##fileformat=VCFv4.2" and head[-1].split("\t") == ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *S.NAMES]
+    assert len(lines) - len(head) == df.count() and all(len(line.split("\t")) == 9 + 17 for line in lines[len(head) :])
     assert IO.ped(df)[2].split("\t")[:5] == ["F1", "S02", "S00", "S01", "1"]
     assert IO.ped_genotypes(df.limit(3)).count() == 17
 
