@@ -38,10 +38,15 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd, empty):
     secret_model = secrets.train()
     for docs in (odd, empty):
         n = docs.count()
-        assert mixing.plan(docs).count() == n
+        planned = mixing.plan(docs).collect()
+        assert len(planned) == n and all(r["size"] == 0 for r in planned if r["doc_id"] in (2, 3, 4)) and all(0 <= r["taken"] <= 2 * r["size"] for r in planned)
         mixed = mixing.mix(docs)
         assert mixed.columns == docs.columns
-        mixed.collect()
+        copies = Counter((r["doc_id"], r["source"]) for r in mixed.collect())
+        wanted = Counter()
+        for r in planned:
+            wanted[r["doc_id"], r["source"]] += r["repetitions"]
+        assert copies == +wanted
         assert toxicity.passages(docs, toxicity.train(docs, labels)).count() == n
         assert toxicity.reject_toxic(docs, toxicity.Model({})).count() <= n
         assert len(secrets.scan(docs, secret_model).collect()) == 0
@@ -51,14 +56,20 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd, empty):
         kept = neardup.keep_one(docs)
         assert kept.columns == docs.columns
         kept.collect()
-        prints = fingerprint.fingerprints(docs)
-        assert prints.count() == n
+        prints = fingerprint.fingerprints(docs).collect()
+        assert len(prints) == n and all(r["n_chars"] == 0 and r["fingerprint"].startswith("0:") for r in prints if r["doc_id"] in (2, 3))
+        assert len({r["fingerprint"] for r in prints if r["doc_id"] == 1}) <= 1 and all(r["n_chars"] > 100_000 for r in prints if r["doc_id"] in (5, 6))
         assert language.identify(docs, language.train(docs)).count() == n
         licenses.scan(docs).collect()
         packed = packing.pack(docs).toPandas()
         assert packed["uid"].nunique() == len(packed) >= n
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a", "y"), (2, "v", "", "z")], "page_id long, url string, html string, block string")
-    assert warc.derive(warc.responses(pages), ("page_id",)).count() == 6 and warc.derive(warc.responses(pages.where("1 = 0"))).count() == 0
+    records = warc.derive(warc.responses(pages), ("page_id",)).collect()
+    assert len(records) == 6 and {(r["page_id"], r["block"]) for r in records if r["record_type"] == "conversion"} == {(1, ""), (None, "a"), (2, "")}
+    assert warc.derive(warc.responses(pages.where("1 = 0"))).collect() == []
+    broken = spark.createDataFrame([(1, "http://a/\r\nX-Header: 1", "<a href='b\nc'>")], "page_id long, url string, html string")
+    for r in warc.as_warc(warc.derive(warc.responses(broken))).collect():
+        assert b"\nX-Header" not in r["warc"] and b"%0D%0AX-Header" in r["warc"]
     vectors = spark.createDataFrame([(0, [0.5, 0.5], "a"), (0, [0.5, 0.5], "a"), (50, [1.0, -1.0], "b"), (51, None, "c"), (52, [float("nan"), 1.0], "d"), (53, [None, 1.0], "e"), (None, [1.0, 1.0], "f"), (54, [float("inf"), 0.0], "g"), (55, [0.25], "h"), (56, [], "i")], "vec_id long, embedding array<double>, v string")
     # two rows 0 and one row 50 ask; four other rows are candidates of each, a repeated row among them
     assert Counter(r["query_id"] for r in mtree.top_k(vectors).collect()) == {0: 8, 50: 4}
@@ -181,6 +192,35 @@ def test_capped_segments_by_definition():
         assert all(f is g or f[1] <= g[0] or g[1] <= f[0] for f in found for g in found)
 
 
+def test_toxic_score_by_definition():
+    """Segments by taking the best run of tokens and going on left and right of it; the score from their expectations."""
+    rng = random.Random(12)
+    for _ in range(60):
+        words = [f"w{k}" for k in range(rng.randint(0, 40))]
+        scores = {w: rng.choice([-2.0, -0.5, 0.75, 1.5, 3.0]) * rng.random() for w in words}
+        model = toxicity.Model(scores, decay=0.9, weight=0.05, a=-4.0, b=1.5)
+
+        def parts(a, b, v=[scores[w] for w in words]):  # noqa: B006
+            runs = [(sum(v[i:k]), -i, -k) for i in range(a, b) for k in range(i + 1, b + 1)]
+            if not runs or max(runs)[0] <= 0:
+                return []
+            total, i, k = max((round(s, 9), i, k) for s, i, k in runs)
+            return [*parts(a, -i), total, *parts(-k, b)]
+
+        evidence = sum(max(0.0, -math.log10(0.05 * max(len(words), 1) * math.exp(-0.9 * s))) for s in parts(0, len(words)))
+        want = 1 / (1 + math.exp(4.0 - 1.5 * math.log1p(evidence)))
+        assert toxicity.score_text(model, toxicity._Cache(model), " ".join(words))[0] == pytest.approx(want, abs=1e-9)
+
+
+def test_log_odds_by_hand():
+    counts = {"bad": (30, 2), "good": (10, 60), "^bad": (30, 2)}
+    got = toxicity.log_odds(counts, prior=1.0, sure=1.0)
+    alpha = 2 / 2 * (32 / 102 + 1 / 2)
+    odds = math.log((30 + alpha) / 42) - math.log((2 + alpha) / 64)
+    assert got["bad"] == pytest.approx(odds - math.sqrt(1 / (30 + alpha) + 1 / (2 + alpha))) and got["good"] < 0
+    assert toxicity.evidence(["a", "a", "a", "b"])["a"] == toxicity.REPEATS and toxicity.evidence(["abcde", "abcdf"])["^abcd"] == 2
+
+
 def test_toxic_documents_are_found(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8))) for _ in range(400)]
@@ -205,6 +245,20 @@ def test_toxic_documents_are_found(spark):
 
 # 4 ------------------------------------------------------------------------------------------------------------------
 
+def test_forest_by_kind():
+    """Fresh findings of each kind; passwords of words and digits among them."""
+    found = secrets.rates(secrets.train(), secrets.findings_by_kind(4000, 99))
+    assert set(secrets.SECRET_KINDS) <= set(found)
+    for kind, (n, share) in found.items():
+        assert n > 50 and (share >= 0.9 if kind in secrets.SECRET_KINDS else share <= 0.05), (kind, share)
+
+
+def test_findings_from_a_table(spark):
+    rows = [("password = hunter2024secure x", None, 1), ("commit 0123456789abcdef", "a.py", 0), (None, "a", 1), ("x", "a", None)]
+    assert sorted(secrets.findings_of(spark.createDataFrame(rows, "text string, path string, label int"))) == [("commit 0123456789abcdef", "a.py", 0), ("password = hunter2024secure x", "", 1)]
+    assert [c.value for c in secrets.candidates("key=zq8Xw71LmPq0RtY5vB2n==")] == ["zq8Xw71LmPq0RtY5vB2n=="]
+
+
 def test_forest_on_held_out_findings():
     model = secrets.train()
     held = secrets.labelled_findings(800, seed=123)
@@ -329,7 +383,17 @@ def test_fingerprints_of_all_documents(spark):
     got = fingerprint.fingerprints(docs).toPandas().set_index("doc_id")
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), reverse=True)
     real = []
+    words = lambda x: "".join(c if c.isalpha() or c.isnumeric() else " " for c in x.lower()).split()
+    shingles = lambda w: [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []
+    short = 0
     for k, (i, t) in enumerate(rows):
+        one, two = shingles(words(t)), shingles(words(rows[(k + 1) % len(rows)][1]))
+        a, b = set(one), set(two)
+        if max(len(one), len(two)) <= fingerprint.SHORT:  # all hashes are kept: the estimate is the similarity itself
+            short += 1
+            assert got.near_next[i] == (1.0 if one == two else len(a & b) / max(1, len(a | b)))
+        elif min(len(a), len(b)) > 400:
+            assert abs(got.near_next[i] - len(a & b) / len(a | b)) < 0.2
         after = rows[(k + 1) % len(rows)][1]
         third = len(t) // 3
         edited = t[: len(t) - third] + after[:third]
@@ -341,11 +405,30 @@ def test_fingerprints_of_all_documents(spark):
         if min(map(len, sets)) > 400:
             real.append(got.near_edited[i] - len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
     assert len(real) > 100 and abs(np.mean(real)) < 0.01 and np.max(np.abs(real)) < 0.2
+    assert short > 0
     equal = {}
     for i, t in rows:
         assert equal.setdefault(t, got.fingerprint[i]) == got.fingerprint[i]
 
 
+def test_fingerprints_over_many_ranges(spark, monkeypatch):
+    """Small ranges, rows without doc_id and repeated ids: each row is followed by the next one in the whole order."""
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 400)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(90)]), " ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 20))), "s") for _ in range(160)]
+    docs = documents(spark, rows)
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprint.fingerprints(docs).collect())
+    import hashlib
+
+    ties = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i, t) for i, t, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        third = len(t) // 3
+        want[i, hashlib.sha256((t[: len(t) - third] + order[(k + 1) % len(order)][1][:third]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 def test_languages_held_out(spark):
@@ -355,6 +438,23 @@ def test_languages_held_out(spark):
     assert (held["lang"] == held["lang_pred"]).mean() > 0.95 and got["score"].between(0, 1).all()
 
 
+def test_ngrams_of_long_texts_and_neighbours(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(20):
+        texts = ["".join(rng.choices("abcé  1,\n.ßñ中", k=rng.choice([0, 1, 2, 5, 50, 300]))) for _ in range(4)]
+        alone = [language.slots_of([t]) for t in texts]
+        who, slot, n = language.slots_of(texts)
+        for k, (_, s, c) in enumerate(alone):
+            assert slot[who == k].tolist() == s.tolist() and n[who == k].tolist() == c.tolist()
+        for block in (3, 50):
+            monkeypatch.setattr(language, "BLOCK", block)
+            for t, one in zip(texts, alone, strict=True):
+                if len(t) > block:
+                    assert all(np.array_equal(x, y) for x, y in zip(one, language._long(t), strict=True))
+            monkeypatch.undo()
+    assert len(language.slots_of(["\U00032100" * 5])[0])
+
+
 def test_language_mixture(spark):
     model = language.train(common.table(spark, SF, "documents"))
     texts = {r["lang"]: r["text"] for r in common.table(spark, SF, "documents").where("n_chars between 1500 and 2500").collect()}
@@ -439,6 +539,11 @@ def test_ids_equal_the_tokenizer():
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     for x, ids in zip(texts, want, strict=True):
         assert list(np.frombuffer(packing.ids_bytes(x), "<u4")) == ids, x
+    assert packing.ranks_suffice()
+    rng = random.Random(2)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 24))) for letters in ("abc", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyzßàé", "!?.,-()") for _ in range(800)]
+    for x in (" ".join(words[k : k + 50]) for k in range(0, len(words), 50)):
+        assert list(np.frombuffer(packing.ids_bytes(x), "<u4")) == t.encode(x, add_special_tokens=False).ids
     packing._stores.clear()  # all at once, with nothing known
     assert [list(np.frombuffer(x, "<u4")) for x in packing.all_ids_bytes(texts)] == want
 
@@ -486,6 +591,23 @@ def test_packing_round_trip(spark, group):
     for _, own in out.sort_values("offset").groupby("sequence_id"):
         assert own["length"].sum() <= 4096 and (own["offset"].to_numpy() == np.concatenate([[0], np.cumsum(own["length"])[:-1]])).all()
     assert set(out["doc_id"]) == set(texts) and out["sequence_id"].nunique() <= packing.lower_bound(out["length"].to_numpy(), 4096) * 1.01 + 1
+    proof = packing.certificate(spark.createDataFrame(out[["length", "sequence_id"]]))
+    assert proof == {"sequences": out["sequence_id"].nunique(), "bound": packing.lower_bound(out["length"].to_numpy(), 4096)}
+
+
+def test_the_last_group_is_repacked():
+    rng = np.random.default_rng(1)
+    better = 0
+    for _ in range(20):
+        lengths = rng.integers(60, 400, 120)
+        bound = packing.lower_bound(lengths, 1000)
+        bins, offsets, held = packing.exchange(lengths, 1000, bound)
+        first = len(packing.best_fit_decreasing(lengths, 1000)[2])
+        better += len(held) < first
+        assert len(held) <= first and (np.bincount(bins, lengths) == held).all() and held.max() <= 1000
+        for b in range(len(held)):
+            own = np.flatnonzero(bins == b)[np.argsort(offsets[bins == b])]
+            assert (offsets[own] == np.concatenate([[0], np.cumsum(lengths[own])[:-1]])).all()
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
@@ -504,3 +626,22 @@ def test_mtree_is_exact(spark, seed):
         order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
         assert [got[q, k + 1] for k in range(5)] == [(int(i), int(s[i])) for i in order]
     assert len(got) == 300
+
+
+def test_mtree_of_repeated_rows_and_wide_integers(spark):
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 2.0**20):
+        v = np.round(rng.normal(size=(120, 6)) * 64) / 64 * scale
+        ids = [k // 2 for k in range(120)]  # every vec_id twice
+        v[1:40:2] = v[0:40:2]
+        docs = spark.createDataFrame([(i, x) for i, x in zip(ids, v.tolist(), strict=True)], "vec_id long, embedding array<double>")
+        got = Counter(tuple(r) for r in mtree.top_k(docs, every=10).select("query_id", "rank", "vec_id", "score").collect())
+        ints = [[int(math.floor(256 * x)) for x in row] for row in v.tolist()]
+        want = Counter()
+        for q in range(120):
+            if ids[q] % 10 == 0:
+                found = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), ids[c]) for c in range(120) if c != q)[:5]
+                want.update((ids[q], k + 1, i, -s) for k, (s, i) in enumerate(found))
+        assert got == want
+    with pytest.raises(ValueError, match="64-bit"):
+        mtree.top_k(spark.createDataFrame([(0, [1e8]), (1, [1.0])], "vec_id long, embedding array<double>"))
