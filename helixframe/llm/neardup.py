@@ -41,6 +41,8 @@ ROWS = REGISTERS // BANDS
 AGREE = int(np.ceil(REGISTERS * (SIMILAR - 4 * np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS))))
 #: Texts that one task compares at once, and common origins added to each part of a larger group.
 GROUP, ORIGINS = 192, 16
+#: Keys over which a shingle's rows are dealt where they meet what is known of it.
+SALTS = 8
 #: Shingles sketched at once.
 BLOCK = 400_000
 
@@ -447,9 +449,12 @@ def _linkable(texts: DataFrame) -> DataFrame:
     before = 1 - F.sum("share").over(Window.partitionBy("key")) + F.sum("share").over(order) - F.col("share") - 1e-8
     early = cut(known.withColumn("before", before).where((F.col("before") <= REST) & (F.col("m") > 0)).select(*by, "key", "outside", "before"), "near-early")
     least = early.groupBy(*by).agg(F.count("*").alias("rows"), F.min("before").alias("any"), F.min(F.when(F.col("outside"), F.col("before"))).alias("out")).where("rows > 1 AND out IS NOT NULL")
+    # a shingle that a whole large group has is dealt over SALTS keys: one row for each on the small side
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = early.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SALTS)).cast("int"))
     partner = F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))
     met = 1 / (1 - F.col("before")) + 1 / (1 - partner) <= INVERSES
-    return early.join(least, by).where(met).select("key", "label", "outside").distinct()
+    return salted.join(least, [*by, "salt"]).where(met).select("key", "label", "outside").distinct()
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
