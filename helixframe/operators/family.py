@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import HelixError
 from ..functions import genotype as G
-from ..functions.tests import chi_square_p
+from ..functions.tests import chi_square_p, once
 from ..functions.variant import genes
 from ..metadata import Study, metadata_of
 
@@ -115,23 +115,32 @@ def tdt(df: DataFrame, phenotype: str, study: str = "") -> DataFrame:
     chosen = metadata_of(df).first(study)
     known = set(chosen.samples)
     trios = [(chosen.index(m.sample), chosen.index(m.father), chosen.index(m.mother), m.sex.upper() == "MALE") for m in chosen.members if m.phenotype == phenotype and m.father in known and m.mother in known]
-    gt = lambda i: F.get(F.get(G.study_of(F.col("studies"), chosen.id)["samplesData"], F.lit(i)), F.lit(0))
     on_x = F.col("chromosome").isin("X", "chrX")
-    t1, t2 = F.lit(0), F.lit(0)
-    for c, f, m, male in trios:
-        code = mendelian_code(gt(f), gt(m), gt(c), F.col("chromosome"), F.lit(male))
-        dc, df_, dm = G.dosage(gt(c)), G.dosage(gt(f)), G.dosage(gt(m))
-        het = (df_ == 1).cast("int") + (dm == 1).cast("int")
-        valid = (code == 0) & dc.isNotNull() & df_.isNotNull() & dm.isNotNull() & (het > 0)
-        other = F.when(df_ == 1, dm).otherwise(df_)  # the homozygous parent of a trio with one heterozygous
-        alt = F.when(het == 2, dc).otherwise(dc - (other / 2).cast("int"))  # alternate alleles from heterozygous parents
-        if male:
-            het = F.when(on_x, (dm == 1).cast("int")).otherwise(het)
-            valid = F.when(on_x, (code == 0) & (dc != 1) & (het > 0)).otherwise(valid)
-            alt = F.when(on_x, (dc / 2).cast("int")).otherwise(alt)
-        t2 = t2 + F.coalesce(F.when(valid, alt), F.lit(0))
-        t1 = t1 + F.coalesce(F.when(valid, het - alt), F.lit(0))
-    out = df.withColumn("t1", t1.cast("int")).withColumn("t2", t2.cast("int"))
+    # trios are an array of literals that one expression goes over: the plan's size doesn't grow with them
+    who = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("c", "f", "m", "male"), trio, strict=True))) for trio in trios))
+
+    def handed_down(trio: Column, data: Column) -> Column:
+        c, f, m = (F.get(F.get(data, trio[k]), F.lit(0)) for k in "cfm")
+        code = mendelian_code(f, m, c, F.col("chromosome"), trio["male"])
+        genotypes = F.struct(G.dosage(c).alias("c"), G.dosage(f).alias("f"), G.dosage(m).alias("m"), (code == 0).alias("fits"), (on_x & trio["male"]).alias("son"))
+
+        def count(g: Column) -> Column:
+            het = (g["f"] == 1).cast("int") + (g["m"] == 1).cast("int")
+            called = g["c"].isNotNull() & g["f"].isNotNull() & g["m"].isNotNull()
+            other = F.when(g["f"] == 1, g["m"]).otherwise(g["f"])  # the homozygous parent of a trio with one heterozygous
+            alt = F.when(het == 2, g["c"]).otherwise(g["c"] - (other / 2).cast("int"))  # alternate alleles from heterozygous parents
+            son = F.when(g["fits"] & (g["c"] != 1) & (g["m"] == 1), F.struct((1 - (g["c"] / 2).cast("int")).alias("t1"), (g["c"] / 2).cast("int").alias("t2")))
+            any_child = F.when(g["fits"] & called & (het > 0), F.struct((het - alt).cast("int").alias("t1"), alt.cast("int").alias("t2")))
+            return F.when(g["son"], son).otherwise(any_child)
+
+        return once(genotypes, count)
+
+    none = F.struct(F.lit(0).alias("t1"), F.lit(0).alias("t2"))
+    add = lambda a, x: F.struct((a["t1"] + F.coalesce(x["t1"], F.lit(0))).alias("t1"), (a["t2"] + F.coalesce(x["t2"], F.lit(0))).alias("t2"))
+    total = once(G.study_of(F.col("studies"), chosen.id)["samplesData"], lambda data: F.aggregate(F.transform(who, lambda trio: handed_down(trio, data)), none, add)) if trios else none
+    df = df.withColumn("_tdt", total)
+    t1, t2 = F.col("_tdt.t1"), F.col("_tdt.t2")
+    out = df.withColumn("t1", t1.cast("int")).withColumn("t2", t2.cast("int")).drop("_tdt")
     n = F.col("t1") + F.col("t2")
     chi = F.when(n > 0, F.try_divide(((F.col("t1") - F.col("t2")) * (F.col("t1") - F.col("t2"))).cast("double"), n)).otherwise(-1.0)
     out = out.withColumn("chiSquare", chi)

@@ -136,12 +136,18 @@ def sample_stats(df: DataFrame, samples: list[str] | None = None, study: str = "
     here = G.study_of(F.col("studies"), chosen.id)
     files = here["files"] if file_id is None else F.filter(here["files"], lambda f: f["fileId"] == file_id)
     first_file = F.get(files, F.lit(0))
-    position = lambda name: known.index(name) if name in known else None
+    at = {n: i for i, n in enumerate(known)}
+    # positions as arrays of literals (-1 for none): the plan's size doesn't grow with the samples
+    members = [chosen.members[i] for i in indexes]
+    literals = lambda values: F.array(*map(F.lit, values))
+    who = F.arrays_zip(
+        literals(names).alias("sample"), literals(indexes).alias("own"), literals([at.get(m.father, -1) for m in members]).alias("father"),
+        literals([at.get(m.mother, -1) for m in members]).alias("mother"), literals([m.sex.upper() == "MALE" for m in members]).alias("male"),
+    )
 
     def of_samples(data: Column) -> Column:
-        gt_of = lambda i: F.get(F.get(data, F.lit(i)), F.lit(0)) if i is not None else F.lit(None).cast("string")
-        members = [(n, i, chosen.members[i]) for n, i in zip(names, indexes, strict=True)]
-        return F.array(*(F.struct(F.lit(n).alias("sample"), gt_of(i).alias("gt"), gt_of(position(m.father)).alias("father"), gt_of(position(m.mother)).alias("mother"), F.lit(m.sex.upper() == "MALE").alias("male")) for n, i, m in members))
+        gt_of = lambda i: F.get(F.get(data, i), F.lit(0))
+        return F.transform(who, lambda w: F.struct(w["sample"].alias("sample"), gt_of(w["own"]).alias("gt"), gt_of(w["father"]).alias("father"), gt_of(w["mother"]).alias("mother"), w["male"].alias("male")))
 
     per = once(here["samplesData"], of_samples)
     long = df.select(
