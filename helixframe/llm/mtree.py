@@ -8,8 +8,14 @@ distance to the parent's object; each vector keeps its distance to its leaf's ob
 nodes it has met it opens the one with the least lower bound, until none is under its present k-th distance. Stored
 distances and the triangle inequality bound nodes and entries before anything is computed for them.
 
-A query first searches the tree that holds it; the k-th distance found there bounds which cells can still matter. Queries
-are gathered in blocks, a block's queries go to each tree of such cells once, and a tree's task takes them block by block.
+Where such bounds leave a query more than SCAN of a tree's pages, opening them one by one saves nothing: these pages are
+read in one product, and only scores above the query's present k-th are looked at.
+
+A query first searches the tree that holds it; the k-th score found there bounds which cells can still matter. Trees are
+gathered in groups of bounded bytes. A query's vector goes once to each group with a tree of such cells, in messages of at
+most QUERY_BLOCK queries that are made one at a time; a group's task holds its trees and takes the messages block by block.
+So a task holds GROUP_BYTES of trees and one block, however large the table is; the queries are written once a group, not
+once a tree.
 
 Contract: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows without vec_id; every
 other row is a candidate for every query but its own row, so rows equal in vec_id and vector are each other's candidates
@@ -30,19 +36,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, ship, table
+from .common import cut, release, ship, table
 
 K = 5
 SCALE = 256
 EVERY = 50
 #: Vectors of one tree, entries of one page and children of one inner node.
 TREE, PAGE, FANOUT = 2048, 64, 8
+#: Bytes of one tree's vectors and of one group of trees, about.
+TREE_BYTES, GROUP_BYTES = 1 << 19, 64 << 20
+#: Share of a tree's pages over which a query reads them at once, and queries of one such product.
+SCAN, STRIP = 1 / 8, 512
 #: Pivots come from a sample of this many vectors at most; more vectors make more trees, not more pivots.
 PIVOT_SAMPLE, MOST_PIVOTS, VECTORS_PER_PIVOT = 4096, 256, 2000
-#: Queries of one block, about.
-QUERY_BLOCK = 8_000
+#: Queries of one block, and rows of which distances to all pivots are held at once.
+QUERY_BLOCK = 4096
 SLACK = 1e-6
-EXACT_FLOAT, EXACT_LONG = 2.0**52, 2.0**62
+EXACT_SINGLE, EXACT_FLOAT, EXACT_LONG = 2.0**24, 2.0**52, 2.0**62
+#: What stands for no score and for no vec_id: under all scores, over all ids.
+NONE, NO_ID = -(2**63) + 1, 2**63 - 1
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -72,13 +84,13 @@ class Space:
 
     def __init__(self, top: float):
         self.top = top
-        self.wide = top >= EXACT_FLOAT
-        #: What stands for no score: under all scores, in the type they have.
-        self.none = np.int64(-(2**63) + 1) if self.wide else -np.inf
+        #: What products are exact in, since no partial sum exceeds M^2, and what holds a component.
+        self.kind = np.float32 if top < EXACT_SINGLE else np.float64 if top < EXACT_FLOAT else np.int64
+        self.stored = np.int16 if top < 2.0**30 else np.int32
 
     def products(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Exact inner products: as floats while they stay under 2^52, else as 64-bit integers."""
-        return q.astype(np.int64) @ v.astype(np.int64).T if self.wide else q @ v.T
+        """Exact inner products, in the kind of number that holds them."""
+        return q.astype(self.kind, copy=False) @ v.astype(self.kind, copy=False).T
 
     def lift(self, v: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.top - (v * v).sum(1), 0))
@@ -148,39 +160,114 @@ def build(ids: np.ndarray, rows: np.ndarray, v: np.ndarray, space: Space) -> dic
             to_parent.append(0.0)
         level = above
     return {
-        "ids": ids, "rows": rows, "v": v, "entry": entry, "starts": starts, "objects": np.asarray(objects), "radius": np.asarray(radius), "inner": np.asarray(inner),
+        "ids": ids, "rows": rows, "v": v.astype(space.stored), "entry": entry, "starts": starts, "objects": np.asarray(objects), "radius": np.asarray(radius), "inner": np.asarray(inner),
         "children": [np.asarray(c, np.int64) for c in children], "parent": np.asarray(to_parent),
     }
 
 
-def search(tree: dict, q_rows: np.ndarray, q: np.ndarray, bound: np.ndarray, space: Space, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, vec_id, score) of each query's k best in this tree within its bound, its own row left out.
-
-    In each round every query opens the node with its own least bound; queries at one node are handled together.
+class Block:
+    """Queries under way: the k best that were found, and what a candidate has to beat, by score and then vec_id."""
+
+    def __init__(self, rows: np.ndarray, v: np.ndarray, low: np.ndarray, low_id: np.ndarray, space: Space, k: int = K):
+        self.rows, self.low, self.low_id, self.space, self.k = rows, low.copy(), low_id.copy(), space, k
+        self.v, self.wide = v.astype(space.kind), v.astype(np.float64)
+        self.scores, self.found = np.full((len(rows), k), NONE), np.full((len(rows), k), NO_ID)
+        self.limit = np.full(len(rows), np.inf)
+        self._limits(np.flatnonzero(low > NONE))
+        self.slack = SLACK * (1 + np.sqrt(space.top))
+
+    def _limits(self, at: np.ndarray) -> None:
+        self.limit[at] = self.space.of_score(self.wide[at], self.low[at].astype(float))
+
+    def offer(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates of the queries at; the k best stay."""
+        scores = scores.astype(np.int64)
+        better = (scores > self.low[at]) | ((scores == self.low[at]) & (ids < self.low_id[at]))
+        at, ids, scores = at[better], ids[better], scores[better]
+        if not len(at):
+            return
+        asked, own = np.unique(at, return_inverse=True)
+        every_q = np.concatenate([np.repeat(np.arange(len(asked)), self.k), own])
+        every_s = np.concatenate([self.scores[asked].ravel(), scores])
+        every_i = np.concatenate([self.found[asked].ravel(), ids])
+        order = np.lexsort((every_i, -every_s, every_q))
+        size = np.bincount(every_q)
+        place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        order = order[place < self.k]
+        self.scores[asked], self.found[asked] = every_s[order].reshape(-1, self.k), every_i[order].reshape(-1, self.k)
+        full = asked[self.scores[asked, -1] > NONE]
+        self.low[full], self.low_id[full] = self.scores[full, -1], self.found[full, -1]
+        self._limits(full)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, vec_id, score), each query's best first."""
+        row, at = np.nonzero(self.scores > NONE)
+        return row, self.found[row, at], self.scores[row, at]
+
+
+def _meet(tree: dict, entries: np.ndarray | slice, block: Block, near: np.ndarray, useful: np.ndarray | None = None) -> None:
+    """Offers entries of a tree to the queries near, their own rows left out; useful has the pairs that bounds leave."""
+    ids, rows, v = tree["ids"][entries], tree["rows"][entries], tree["v"][entries].astype(block.space.kind)
+    for a in range(0, len(near), STRIP):
+        some = near[a : a + STRIP]
+        s = block.space.products(block.v[some], v)
+        hit = s >= block.low[some].astype(block.space.kind)[:, None]
+        if useful is not None:
+            hit &= useful[a : a + STRIP]
+        pairs = np.flatnonzero(hit.ravel())
+        at, e = some[pairs // len(ids)], pairs % len(ids)
+        other = rows[e] != block.rows[at]
+        block.offer(at[other], ids[e[other]], s.ravel()[pairs[other]])
+
+
+def search(tree: dict, block: Block, asking: np.ndarray, space: Space) -> None:
+    """Offers the queries asking what this tree holds within their limits.
+
+    Queries go best-first: in each round every query opens the node with its own least bound; queries at one node are
+    handled together. A query without a limit goes so until it has one; where a limit then leaves more than SCAN of the
+    tree's pages, the query reads what is left of these at once.
     A node's bound comes from its parent's known distance and stored ones; the distance to its own object is computed when
     it is opened, and bounds its ring and each of its entries before any product is.
     """
-    n, leaves = len(q), len(tree["starts"]) - 1
-    scores = np.full((n, k), space.none)
-    found = np.full((n, k), np.iinfo(np.int64).max)
-    limit = bound.copy()
-    slack = SLACK * (1 + np.sqrt(space.top))
-    low = np.full((n, len(tree["objects"])), np.inf)
+    leaves = len(tree["starts"]) - 1
+    low = np.full((len(asking), len(tree["objects"])), np.inf)
     low[:, -1] = 0
-    everyone = np.arange(n)
-    while True:
+    opened = np.zeros((len(asking), leaves), bool)
+    _best_first(tree, block, asking, space, low, opened, True)
+    bounded = np.flatnonzero(np.isfinite(block.limit[asking]))
+    d = space.from_query(block.wide[asking[bounded]], tree["objects"][:leaves])
+    left = np.maximum(d - tree["radius"][:leaves], tree["inner"][:leaves] - d) <= (block.limit[asking[bounded]] + block.slack)[:, None]
+    left &= ~opened[bounded]
+    many = left.mean(1) > SCAN
+    if many.any():
+        size = np.diff(tree["starts"])
+        pages = left[many].any(0)
+        entries = slice(None) if pages.all() else np.flatnonzero(np.repeat(pages, size))
+        done = opened[bounded[many]]
+        _meet(tree, entries, block, asking[bounded[many]], np.repeat(~done, size, axis=1)[:, entries] if done.any() else None)
+    rest = np.delete(np.arange(len(asking)), bounded[many | ~left.any(1)])
+    _best_first(tree, block, asking[rest], space, low[rest], opened[rest], False)
+
+
+def _best_first(tree: dict, block: Block, asking: np.ndarray, space: Space, low: np.ndarray, opened: np.ndarray, first_limit: bool) -> None:
+    """The rounds of search(), over the nodes met (low, their bounds; infinite once opened); to the end or to a first limit."""
+    leaves, slack = len(tree["starts"]) - 1, block.slack
+    everyone = np.arange(len(asking))
+    while len(asking):
         pick = low.argmin(1)
         least = low[everyone, pick]
-        going = np.flatnonzero((least <= limit + slack) & (least < np.inf))
+        going = np.flatnonzero((least <= block.limit[asking] + slack) & (least < np.inf) & ~(first_limit & np.isfinite(block.limit[asking])))
         if not len(going):
             break
         low[going, pick[going]] = np.inf
         order = going[np.argsort(pick[going], kind="stable")]
         at, first = np.unique(pick[order], return_index=True)
         for node, near in zip(at.tolist(), np.split(order, first[1:]), strict=True):
-            d = space.from_query(q[near], tree["objects"][node : node + 1])[:, 0]
+            if node < leaves:
+                opened[near, node] = True
+            d = space.from_query(block.wide[asking[near]], tree["objects"][node : node + 1])[:, 0]
             ring = np.maximum(np.maximum(d - tree["radius"][node], tree["inner"][node] - d), 0)
-            inside = ring <= limit[near] + slack
+            inside = ring <= block.limit[asking[near]] + slack
             near, d, ring = near[inside], d[inside], ring[inside]
             if not len(near):
                 continue
@@ -190,21 +277,10 @@ def search(tree: dict, q_rows: np.ndarray, q: np.ndarray, bound: np.ndarray, spa
                 low[near[:, None], below[None]] = np.maximum(bounds, ring[:, None])
                 continue
             a, b = tree["starts"][node], tree["starts"][node + 1]
-            useful = np.abs(d[:, None] - tree["entry"][a:b][None]) <= (limit[near] + slack)[:, None]
+            useful = np.abs(d[:, None] - tree["entry"][a:b][None]) <= (block.limit[asking[near]] + slack)[:, None]
             some = np.flatnonzero(useful.any(0))
-            if not len(some):
-                continue
-            ids, rows = tree["ids"][a:b][some], tree["rows"][a:b][some]
-            s = space.products(q[near], tree["v"][a:b][some])
-            s[~useful[:, some] | (rows[None] == q_rows[near][:, None])] = space.none
-            all_s = np.concatenate([scores[near], s], 1)
-            all_i = np.concatenate([found[near], np.broadcast_to(ids, s.shape)], 1)
-            order_k = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            scores[near], found[near] = np.take_along_axis(all_s, order_k, 1), np.take_along_axis(all_i, order_k, 1)
-            full = near[scores[near, k - 1] > space.none]
-            limit[full] = np.minimum(limit[full], space.of_score(q[full], scores[full, k - 1].astype(float)))
-    row, at = np.nonzero(scores > space.none)
-    return row, found[row, at], scores[row, at].astype(np.int64)
+            if len(some):
+                _meet(tree, a + some, block, asking[near], useful[:, some])
 
 
 FOUND = "query_row long, query_id long, vec_id long, score long"
@@ -230,89 +306,118 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
     pivots = pool[_spread(pool, int(min(MOST_PIVOTS, max(1, n // VECTORS_PER_PIVOT))), space)]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = space.between(_matrix(batch.column(1), width), pivots)
-            cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(d[np.arange(len(cell)), cell])], ["vec_id", "v", "row", "cell", "away"])
-
-    dealt = cut(v.mapInArrow(assign, "vec_id long, v array<long>, row long, cell long, away double"), "mtree-cells")
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner")).toPandas()  # one row a pivot
+        for whole in batches:
+            for a in range(0, len(whole), QUERY_BLOCK):
+                batch = whole.slice(a, QUERY_BLOCK)
+                wide = _matrix(batch.column(1), width)
+                d = space.between(wide, pivots)
+                cell = d.argmin(1)
+                body = pa.array([x.tobytes() for x in wide.astype(space.stored)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), body, batch.column(2), pa.array(cell), pa.array(d[np.arange(len(cell)), cell])], ["vec_id", "v", "row", "cell", "away"])
+
+    in_cells = cut(v.mapInArrow(assign, "vec_id long, v binary, row long, cell long, away double"), "mtree-cells")
+    release(v)
+    cells = in_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner")).toPandas()  # one row a pivot
+    vector_bytes = width * np.dtype(space.stored).itemsize
     parts = np.zeros(len(pivots), np.int64)
     radius, inner = np.zeros(len(pivots)), np.zeros(len(pivots))
     at = cells["cell"].to_numpy()
-    parts[at], radius[at], inner[at] = -(-cells["n"].to_numpy() // TREE), cells["radius"], cells["inner"]
+    parts[at], radius[at], inner[at] = -(-cells["n"].to_numpy() // max(PAGE, min(TREE, TREE_BYTES // max(vector_bytes, 1)))), cells["radius"], cells["inner"]
     offset = np.concatenate([[0], np.cumsum(parts)])
     part_of = F.element_at(F.array(*(F.lit(int(x)) for x in np.maximum(parts, 1))), F.col("cell").cast("int") + 1)
     start_of = F.element_at(F.array(*(F.lit(int(x)) for x in offset[:-1])), F.col("cell").cast("int") + 1)
-    dealt = dealt.withColumn("tree", start_of + F.pmod(F.xxhash64("row", F.lit(3)), part_of))
+    dealt = in_cells.withColumn("tree", start_of + F.pmod(F.xxhash64("row", F.lit(3)), part_of))
 
     def plant(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = np.zeros((len(frame), width))
-        for i, x in enumerate(frame["v"]):
-            wide[i, : len(x)] = x
+        wide = np.frombuffer(b"".join(frame["v"]), space.stored).reshape(len(frame), width).astype(np.float64)
         tree = build(frame["vec_id"].to_numpy(np.int64), frame["row"].to_numpy(np.int64), wide, space)
         return pd.DataFrame({"tree": [int(frame["tree"].iloc[0])], "body": [pickle.dumps(tree, protocol=5)]})
 
     trees = cut(dealt.select("tree", "vec_id", "row", "v").groupBy("tree").applyInPandas(plant, "tree long, body binary"), "mtree-trees")
-    blocks = max(1, -(-n // every // QUERY_BLOCK))
+    release(in_cells)
+    # trees of a cell lie in one group or in neighbouring ones; enough groups to keep all cores busy
+    count = int(offset[-1])
+    groups = min(count, max(-(-n * (vector_bytes + 24) // GROUP_BYTES), 4 * spark.sparkContext.defaultParallelism))
+    cell_of = np.repeat(np.arange(len(parts)), parts)
+    group_of = np.arange(count) * groups // count
+    cell_groups = np.zeros((len(parts), groups), np.float32)
+    cell_groups[cell_of, group_of] = 1
+
+    def ring(wide: np.ndarray, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Least distances of queries to anything in these cells."""
+        d = space.from_query(wide, pivots[some])
+        return np.maximum(np.maximum(d - radius[some], inner[some] - d), 0)
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Searches each tree for its own queries; one row for each query with its vector, limit and what was found."""
+        """Searches each tree for its own queries; one row for each query with its vector, what was found and what is to beat."""
         for frame in frames:
             for number, body in zip(frame["tree"], frame["body"], strict=True):
                 tree = pickle.loads(body)
                 own = np.flatnonzero(tree["ids"] % every == 0)
-                if not len(own):
-                    continue
-                q_rows, q = tree["rows"][own], tree["v"][own]
-                row, vec_id, score = search(tree, q_rows, q, np.full(len(own), np.inf), space, k)
-                count = np.bincount(row, minlength=len(own))
-                worst = np.full(len(own), np.inf)
-                np.minimum.at(worst, row, score)
-                limit = np.where(count >= k, space.of_score(q, np.where(count >= k, worst, 0)), np.inf)
-                cut_at = np.cumsum(count)[:-1]
-                yield pd.DataFrame({
-                    "query_row": q_rows, "query_id": tree["ids"][own], "tree": int(number), "v": [x.tobytes() for x in q], "limit": limit,
-                    "vec_ids": np.split(vec_id, cut_at), "scores": np.split(score, cut_at),
-                })
-
-    asked = cut(trees.mapInPandas(ask, "query_row long, query_id long, tree long, v binary, limit double, vec_ids array<long>, scores array<long>"), "mtree-asked")
-
-    def route(frame: pd.DataFrame) -> pd.DataFrame:
-        """The queries of a block, as one message to each tree that their limits leave."""
-        q = np.frombuffer(b"".join(frame["v"])).reshape(-1, width)
-        limit, q_rows, q_ids, home = (frame[c].to_numpy() for c in ("limit", "query_row", "query_id", "tree"))
-        d = space.from_query(q, pivots)
-        low = np.maximum(np.maximum(d - radius[None], inner[None] - d), 0)
-        wanted = low <= limit[:, None] + SLACK * (1 + np.sqrt(space.top))
-        out = []
-        for cell in np.flatnonzero(wanted.any(0) & (parts > 0)):
-            for t in range(offset[cell], offset[cell + 1]):
-                here = np.flatnonzero(wanted[:, cell] & (home != t))
-                if len(here):
-                    out.append((t, pickle.dumps((q_rows[here], q_ids[here], q[here], limit[here]), protocol=5)))
-        return pd.DataFrame(out, columns=["tree", "body"])
-
-    by_block = asked.select("query_row", "query_id", "tree", "v", "limit", F.pmod(F.xxhash64("query_row", F.lit(5)), F.lit(blocks)).alias("block"))
-    routed = cut(by_block.groupBy("block").applyInPandas(route, "tree long, body binary"), "mtree-routes")
+                for a in range(0, len(own), QUERY_BLOCK):
+                    some = own[a : a + QUERY_BLOCK]
+                    block = Block(tree["rows"][some], tree["v"][some], np.full(len(some), NONE), np.full(len(some), NO_ID), space, k)
+                    search(tree, block, np.arange(len(some)), space)
+                    row, vec_id, score = block.best()
+                    cut_at = np.cumsum(np.bincount(row, minlength=len(some)))[:-1]
+                    yield pd.DataFrame({
+                        "query_row": block.rows, "query_id": tree["ids"][some], "tree": int(number), "v": [x.tobytes() for x in tree["v"][some]],
+                        "low": block.low, "low_id": block.low_id, "vec_ids": np.split(vec_id, cut_at), "scores": np.split(score, cut_at),
+                    })
+
+    asked = cut(trees.mapInPandas(ask, "query_row long, query_id long, tree long, v binary, low long, low_id long, vec_ids array<long>, scores array<long>"), "mtree-asked")
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries in blocks, one message at a time to each group with a tree that their limits leave."""
+        for whole in frames:
+            for a in range(0, len(whole), QUERY_BLOCK):
+                frame = whole.iloc[a : a + QUERY_BLOCK]
+                q_rows, q_ids, home, low, low_id = (frame[c].to_numpy() for c in ("query_row", "query_id", "tree", "low", "low_id"))
+                v = np.frombuffer(b"".join(frame["v"]), space.stored).reshape(len(frame), width)
+                block = Block(q_rows, v, low, low_id, space, k)
+                wanted = (ring(block.wide) <= (block.limit + block.slack)[:, None]).astype(np.float32) @ cell_groups > 0
+                for group in np.flatnonzero(wanted.any(0)).tolist():
+                    here = np.flatnonzero(wanted[:, group])
+                    yield pd.DataFrame({"group": [group], "message": True, "tree": -1, "body": [pickle.dumps((q_rows[here], q_ids[here], home[here], v[here], low[here], low_id[here]), protocol=5)]})
+
+    def answer(held: list[tuple[int, dict]], messages: list[tuple]) -> pd.DataFrame:
+        q_rows, q_ids, home, v, low, low_id = (np.concatenate(x) for x in zip(*messages, strict=True))
+        block = Block(q_rows, v, low, low_id, space, k)
+        cell, bounds = -1, None
+        for number, tree in held:
+            if cell_of[number] != cell:
+                cell = cell_of[number]
+                bounds = ring(block.wide, slice(cell, cell + 1))[:, 0]
+            asking = np.flatnonzero((bounds <= block.limit + block.slack) & (home != number))
+            if len(asking):
+                search(tree, block, asking, space)
+        row, vec_id, score = block.best()
+        return pd.DataFrame({"query_row": q_rows[row], "query_id": q_ids[row], "vec_id": vec_id, "score": score})
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by tree, each tree before the messages to it: one tree and one message are held at a time."""
-        number, tree = None, None
+        """Rows sorted by group, its trees before the messages to it: one group and one block are held at a time."""
+        group, held, messages, waiting = None, [], [], 0
         for frame in frames:
-            for t, message, body in zip(frame["tree"], frame["message"], frame["body"], strict=True):
-                if not message:
-                    number, tree = t, pickle.loads(body)
-                    continue
-                if t != number:
-                    raise RuntimeError("a message without its tree")
-                q_rows, q_ids, q, limit = pickle.loads(body)
-                row, vec_id, score = search(tree, q_rows, q, limit, space, k)
-                yield pd.DataFrame({"query_row": q_rows[row], "query_id": q_ids[row], "vec_id": vec_id, "score": score})
+            for g, message, number, body in zip(frame["group"], frame["message"], frame["tree"], frame["body"], strict=True):
+                found = pickle.loads(body)
+                size = len(found[0]) if message else 0
+                if messages and (g != group or waiting + size > QUERY_BLOCK):
+                    yield answer(held, messages)
+                    messages, waiting = [], 0
+                if g != group:
+                    group, held = g, []
+                if message:
+                    messages.append(found)
+                    waiting += size
+                else:
+                    held.append((number, found))
+        if messages:
+            yield answer(held, messages)
 
     near = asked.select("query_row", "query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("x")).select("query_row", "query_id", F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    mail = trees.select("tree", F.lit(False).alias("message"), "body").union(routed.select("tree", F.lit(True), "body"))
-    far = mail.repartition("tree").sortWithinPartitions("tree", "message").mapInPandas(look, FOUND)
+    letters = asked.select("query_row", "query_id", "tree", "v", "low", "low_id").mapInPandas(route, "group long, message boolean, tree long, body binary")
+    mail = trees.select(F.expr(f"tree * {groups} div {count}").alias("group"), F.lit(False).alias("message"), "tree", "body").unionByName(letters)
+    far = mail.repartition(groups, "group").sortWithinPartitions("group", "message", "tree").mapInPandas(look, FOUND)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

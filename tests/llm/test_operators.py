@@ -645,3 +645,31 @@ def test_mtree_of_repeated_rows_and_wide_integers(spark):
         assert got == want
     with pytest.raises(ValueError, match="64-bit"):
         mtree.top_k(spark.createDataFrame([(0, [1e8]), (1, [1.0])], "vec_id long, embedding array<double>"))
+
+
+def written_bytes(spark):
+    """By stage: bytes that its tasks wrote, to tables and for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.outputBytes() + s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_mtree_sends_a_query_to_groups_not_to_trees(spark, monkeypatch):
+    """One copy of a query's vector for each of many trees exhausted the executors' memory."""
+    monkeypatch.setattr(mtree, "TREE", 32)  # 250 trees and more
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(8000, 32))
+    v /= np.sqrt((v * v).sum(1))[:, None]  # bounds leave most trees to each query
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    before = written_bytes(spark)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in mtree.top_k(docs, every=4).collect()}
+    grown = sum(b for stage, b in written_bytes(spark).items() if stage not in before)
+    ints = np.floor(256 * v).astype(np.int64)
+    for q in range(0, 8000, 4):
+        s = ints @ ints[q]
+        s[q] = -(2**62)
+        order = np.lexsort((np.arange(8000), -s))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(int(i), int(s[i])) for i in order]
+    assert len(got) == 10_000
+    # eight times all vectors as 64-bit integers; 2000 queries for each of 250 trees as 64-bit floats are 128 MB
+    assert grown < 8 * ints.nbytes, grown
