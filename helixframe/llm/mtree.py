@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,22 +59,44 @@ NONE, NO_ID = -(2**63) + 1, 2**63 - 1
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v, the vector as floor(scale x component); rows that take no part are gone."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column as float64, filled up with zeros."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(offsets) and (offsets == width).all():
-        return flat.astype(np.float64).reshape(-1, width)
-    out = np.zeros((len(offsets), width))
+    """vec_id, v (the vector as floor(scale x component), 32-bit integers), its size and square norm, and a number for the row.
+
+    Rows that take no part are gone; where the square norm passes 2^62, v is not to be used.
+    """
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), QUERY_BLOCK):
+                batch = whole.slice(a, QUERY_BLOCK)
+                column = batch.column(1)
+                size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(batch)), size)
+                x = pc.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+                good = np.bincount(owner, weights=~np.isfinite(x), minlength=len(batch)) == 0
+                with np.errstate(over="ignore", invalid="ignore"):
+                    x = np.floor(x * scale)
+                    square = np.bincount(owner, weights=x * x, minlength=len(batch)).astype(np.float64)  # integers where all are empty
+                    body = np.where(np.abs(x) < 2.0**31, x, 0).astype(np.int32)
+                starts = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+                v = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(starts), pa.py_buffer(body)])
+                out = pa.RecordBatch.from_arrays([batch.column(0), v, pa.array(size), pa.array(square), batch.column(2)], ["vec_id", "v", "size", "square", "row"])
+                yield out.filter(pa.array(good))
+
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(convert, "vec_id long, v binary, size long, square double, row long")
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of a column of 32-bit integers as float64, filled up with zeros."""
+    rows = column.to_pylist()
+    flat = np.frombuffer(b"".join(rows), np.int32)
+    sizes = np.fromiter((len(x) // 4 for x in rows), np.int64, len(rows))
+    if (sizes == width).all():
+        return flat.astype(np.float64).reshape(len(rows), width)
+    out = np.zeros((len(rows), width))
     at = 0
-    for i, n in enumerate(offsets):
+    for i, n in enumerate(sizes):
         out[i, :n] = flat[at : at + n]
         at += n
     return out
@@ -290,13 +313,13 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by every."""
     spark = vectors.sparkSession
     ship(spark)
-    v = cut(integers(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "mtree-vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    n, top, width = v.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
+    v = cut(integers(vectors, scale), "mtree-vectors")
+    n, top, width = v.agg(F.count("*"), F.max("square"), F.max("size")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if top >= EXACT_LONG:
         raise ValueError("inner products may exceed 64-bit integers; scale the vectors down")
+    width = max(width, 1)  # all vectors may be empty
     space = Space(float(top))
     sample = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(1_000_000 * PIVOT_SAMPLE / n)).limit(2 * PIVOT_SAMPLE).select("v").toArrow()
     if sample.num_rows == 0:
@@ -315,7 +338,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
                 body = pa.array([x.tobytes() for x in wide.astype(space.stored)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), body, batch.column(2), pa.array(cell), pa.array(d[np.arange(len(cell)), cell])], ["vec_id", "v", "row", "cell", "away"])
 
-    in_cells = cut(v.mapInArrow(assign, "vec_id long, v binary, row long, cell long, away double"), "mtree-cells")
+    in_cells = cut(v.select("vec_id", "v", "row").mapInArrow(assign, "vec_id long, v binary, row long, cell long, away double"), "mtree-cells")
     release(v)
     cells = in_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner")).toPandas()  # one row a pivot
     vector_bytes = width * np.dtype(space.stored).itemsize

@@ -673,3 +673,17 @@ def test_mtree_sends_a_query_to_groups_not_to_trees(spark, monkeypatch):
     assert len(got) == 10_000
     # eight times all vectors as 64-bit integers; 2000 queries for each of 250 trees as 64-bit floats are 128 MB
     assert grown < 8 * ints.nbytes, grown
+
+
+def test_mtree_integers_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, -0.001]), (1, None), (2, [1.0, None]), (3, [nan]), (4, [-inf, 1.0]), (5, []), (None, [1.0]), (6, [3.0, 1e6, 1.0]), (7, [1e308, 1.0])]
+    for kind in ("double", "float"):
+        docs = spark.createDataFrame(rows[: 9 if kind == "double" else 8], f"vec_id long, embedding array<{kind}>").coalesce(1)
+        got = {r["vec_id"]: (np.frombuffer(r["v"], np.int32).tolist(), r["size"], r["square"]) for r in mtree.integers(docs).collect()}
+        assert set(got) == {0, 5, 6} | ({7} if kind == "double" else set())
+        assert got[0] == ([128, -1], 2, 16385.0) and got[5] == ([], 0, 0.0) and got[6] == ([768, 256_000_000, 256], 3, 256e6**2 + 768**2 + 256**2)
+    assert got.get(7) is None or got[7][2] == inf
+    assert mtree.top_k(docs.where("vec_id = 5"), every=5).count() == 0
+    with pytest.raises(ValueError, match="64-bit"):
+        mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
