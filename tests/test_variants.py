@@ -248,3 +248,57 @@ def test_streaming_density(spark, df, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("density").agg(F.sum("count")).first()[0] == df.count()
+
+
+def burden_set(spark, genotypes, groups):
+    """Variants of 17 samples (rows of genotypes) in groups, with metadata."""
+    names = {0: "0/0", 1: "0/1", 2: "1/1"}
+    rows = [(g, [(S.STUDY, [[names[d]] for d in row])]) for g, row in zip(groups, genotypes.tolist(), strict=True)]
+    return M.attach(spark.createDataFrame(rows, "by string, studies array<struct<studyId:string,samplesData:array<array<string>>>>"), S.metadata())
+
+
+def test_burden_of_a_large_group(spark):
+    """30,000 variants in one group: their covariance alone would have 7 GB."""
+    x = np.random.default_rng(3).choice(3, (30_000, 17), p=(0.5, 0.3, 0.2))
+    x[:100] = 0
+    x[:100, 4] = 1  # rare in all
+    row = pairwise.cmc(burden_set(spark, x, ["g"] * len(x)).repartition(5), "by", cases=S.CASES, controls=S.CONTROLS, permutations=3).first()
+    design = np.concatenate([x[100:].T, (x[:100] > 0).any(0)[:, None]], 1).astype(float)
+    one, two = design[:8], design[8:]
+    _, s, v = np.linalg.svd(np.concatenate([one - one.mean(0), two - two.mean(0)]), full_matrices=False)
+    along = (v @ (one.mean(0) - two.mean(0)))[s > 1e-3]
+    assert (row["variants"], row["rare"]) == (30_000, 100) and row["t2"] == pytest.approx(72 / 17 * (along**2 / (s[s > 1e-3] ** 2 / 15)).sum(), rel=1e-9)
+    assert math.isnan(row["pValue"]) and 0 < row["permutationPValue"] <= 1
+
+
+def test_burden_of_many_groups(spark):
+    """Groups of one to three variants over several tasks: by the plain formula for each."""
+    rng = np.random.default_rng(4)
+    x, groups = rng.choice(3, (6000, 17), p=(0.93, 0.05, 0.02)), [f"g{k}" for k in rng.integers(0, 3000, 6000)]
+    rows = pairwise.cmc(burden_set(spark, x, groups).repartition(7), "by", cases=S.CASES, controls=S.CONTROLS, permutations=5).collect()
+    assert len(rows) == len(set(groups))
+    of = {}
+    for g, r in zip(groups, x, strict=True):
+        of.setdefault(g, []).append(r)
+    for r in rows[::20]:
+        d = np.array(of[r["group"]], float).T
+        rare = d.mean(0) / 2 < 0.05
+        assert (r["variants"], r["rare"]) == (d.shape[1], rare.sum())
+        d = np.concatenate([d[:, ~rare], (d[:, rare] > 0).any(1)[:, None]], 1) if rare.sum() > 1 else d
+        pooled = (7 * np.atleast_2d(np.cov(d[:8].T)) + 8 * np.atleast_2d(np.cov(d[8:].T))) / 15
+        diff = d[:8].mean(0) - d[8:].mean(0)
+        want = diff[0] ** 2 / max(pooled[0, 0], 1e-8) if len(diff) == 1 else diff @ np.linalg.pinv(pooled, 1e-9, hermitian=True) @ diff
+        assert r["t2"] == pytest.approx(72 / 17 * want, rel=1e-6, abs=1e-9)
+
+
+def test_burden_parts_are_bounded():
+    import pyarrow as pa
+
+    g = np.random.default_rng(5).choice(3, (70_000, 17)).astype(np.int8)
+    groups = np.array(["a", "b", "c"])[np.r_[np.zeros(69_000, int), np.arange(1000) % 2 + 1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(groups), pa.array(list(g), pa.list_(pa.int8()))], ["group", "g"])
+    parts = list(pairwise.burden_parts(iter([batch]), 17, 0.05))
+    assert sum(p.num_rows for p in parts) <= 6 and sum(p.nbytes for p in parts) < 20_000
+    rows = sorted((p.slice(k, 1) for p in parts for k in range(p.num_rows)), key=lambda p: p.column(0)[0].as_py())
+    tested = pa.Table.from_batches(pairwise.burden_tests(iter(rows), 8, 17, 2, 1))
+    assert tested["variants"].to_pylist() == [69_000, 500, 500]
