@@ -302,3 +302,11 @@ def test_burden_parts_are_bounded():
     rows = sorted((p.slice(k, 1) for p in parts for k in range(p.num_rows)), key=lambda p: p.column(0)[0].as_py())
     tested = pa.Table.from_batches(pairwise.burden_tests(iter(rows), 8, 17, 2, 1))
     assert tested["variants"].to_pylist() == [69_000, 500, 500]
+
+
+def test_parts_are_dealt(spark, tmp_path):
+    """One small file of many parts is more than one task, and each part is there once."""
+    spark.range(0, 150_000, 1, 1).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "md5(string(id)) AS p_type", "int(id % 50 + 1) AS p_size", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    df = S.variants(spark, str(tmp_path))
+    tasks = df.select("id", "biotype").groupBy(F.spark_partition_id()).agg(F.count("*"), F.count_distinct("id")).collect()
+    assert len(tasks) > 8 and sum(t[1] for t in tasks) == sum(t[2] for t in tasks) == 150_000 and max(t[1] for t in tasks) < 20_000
