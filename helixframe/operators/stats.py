@@ -12,39 +12,64 @@ from ..functions.tests import once
 from ..metadata import attach, metadata_of
 
 
-def _counts(values: Column) -> Column:
-    """{value: occurrences} of an array of strings."""
-    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.struct(v.alias("key"), F.size(F.filter(values, lambda x: x == v)).alias("value"))))
+def stats_struct(gts: Column, missing_as_reference: bool = False) -> Column:
+    """Allele and genotype counts and frequencies of an array of genotypes.
 
+    Texts are split and sorted once for each distinct genotype of a variant, not for each sample.
+    """
 
-def stats_struct(gts: Column, missing_as_reference: bool = False) -> Column:
-    """Allele and genotype counts and frequencies of an array of genotypes."""
-    clean = F.transform(gts, lambda g: F.replace(F.coalesce(g, F.lit("./.")), F.lit("?"), F.lit(".")))
-    if missing_as_reference:
-        clean = F.transform(clean, lambda g: F.replace(g, F.lit("."), F.lit("0")))
-    clean = F.transform(clean, G.normalise)
-
-    def of(x: Column) -> Column:
-        alleles = F.flatten(F.transform(x, lambda g: F.split(g, "/")))
-        called = F.filter(x, lambda g: ~g.contains("."))
-        base = F.struct(
-            F.size(F.filter(alleles, lambda a: a != ".")).alias("n"), F.size(F.filter(alleles, lambda a: a == "0")).alias("ref"), F.size(F.filter(alleles, lambda a: a == "1")).alias("alt"),
-            F.size(F.filter(alleles, lambda a: a == ".")).alias("missing"), (F.size(x) - F.size(called)).alias("missing_gt"), _counts(x).alias("counts"), _counts(called).alias("called"), F.size(called).alias("n_called"),
-        )
+    def clean(g: Column) -> Column:
+        text = F.replace(g, F.lit("?"), F.lit("."))
+        return G.normalise(F.replace(text, F.lit("."), F.lit("0")) if missing_as_reference else text)
+
+    def entry(gts: Column, g: Column) -> Column:
+        return F.struct(clean(g).alias("key"), (F.size(gts) - F.size(F.array_remove(gts, g))).alias("value"))
+
+    def merged(entries: Column) -> Column:
+        """Equal once they are clean: 0|1 and 1/0."""
+        number = lambda k: F.aggregate(entries, F.lit(0), lambda n, e: n + F.when(e["key"] == k, e["value"]).otherwise(0))
+        return F.map_from_entries(F.transform(F.sort_array(F.array_distinct(F.transform(entries, lambda e: e["key"]))), lambda k: F.struct(k.alias("key"), number(k).alias("value"))))
 
-        def done(b: Column) -> Column:
-            freq = lambda k: F.when(b["n"] > 0, b[k] / F.greatest(b["n"], F.lit(1))).otherwise(0.0)
-            gfreq = F.transform_values(b["called"], lambda k, v: v / F.greatest(b["n_called"], F.lit(1)))
-            rarest = F.get(F.array_sort(F.transform(F.map_entries(gfreq), lambda e: F.struct(e["value"].alias("f"), e["key"].alias("k")))), F.lit(0))
+    def alleles(counts: Column) -> Column:
+        """The genotypes with their number and how many alleles of each kind they have."""
+
+        def of(e: Column) -> Column:
+            kind = lambda x, a: F.size(x) - F.size(F.array_remove(x, a))
+            return once(F.split(e["key"], "/"), lambda x: F.struct(e["value"].alias("times"), e["key"].contains(".").alias("gap"), F.size(x).alias("all"), kind(x, ".").alias("missing"), kind(x, "0").alias("ref"), kind(x, "1").alias("alt")))
+
+        return F.transform(F.map_entries(counts), of)
+
+    def base(counts: Column) -> Column:
+        called = F.map_filter(counts, lambda k, _: ~k.contains("."))
+        zero = F.struct(*(F.lit(0).alias(k) for k in ("n", "ref", "alt", "missing", "missing_gt")))
+
+        def add(a: Column, e: Column) -> Column:
+            t = e["times"]
             return F.struct(
-                b["n"].alias("alleleCount"), b["ref"].alias("refAlleleCount"), b["alt"].alias("altAlleleCount"), b["missing"].alias("missingAlleleCount"), b["missing_gt"].alias("missingGenotypeCount"),
-                freq("ref").cast("float").alias("refAlleleFreq"), freq("alt").cast("float").alias("altAlleleFreq"), b["counts"].alias("genotypeCount"), F.transform_values(gfreq, lambda k, v: v.cast("float")).alias("genotypeFreq"),
-                F.when(b["alt"] <= b["ref"], "alt").otherwise("ref").alias("mafAllele"), F.least(freq("ref"), freq("alt")).cast("float").alias("maf"), rarest["k"].alias("mgfGenotype"), rarest["f"].cast("float").alias("mgf"),
+                (a["n"] + t * (e["all"] - e["missing"])).alias("n"), (a["ref"] + t * e["ref"]).alias("ref"), (a["alt"] + t * e["alt"]).alias("alt"), (a["missing"] + t * e["missing"]).alias("missing"),
+                (a["missing_gt"] + F.when(e["gap"], t).otherwise(0)).alias("missing_gt"),
             )
 
-        return F.get(F.transform(F.array(base), done), F.lit(0))
+        return once(F.aggregate(alleles(counts), zero, add), lambda b: F.struct(b.alias("b"), counts.alias("counts"), called.alias("called")))
+
+    def frequencies(x: Column) -> Column:
+        called = F.aggregate(F.map_values(x["called"]), F.lit(0), lambda n, v: n + v)
+        gfreq = once(F.greatest(called, F.lit(1)), lambda n: F.transform_values(x["called"], lambda k, v: v / n))
+        rarest = lambda g: F.array_min(F.transform(F.map_entries(g), lambda e: F.struct(e["value"].alias("f"), e["key"].alias("k"))))
+        freq = lambda k: F.when(x["b"]["n"] > 0, x["b"][k] / F.greatest(x["b"]["n"], F.lit(1))).otherwise(0.0)
+        return once(gfreq, lambda g: F.struct(x["b"].alias("b"), x["counts"].alias("counts"), g.alias("gfreq"), rarest(g).alias("rarest"), freq("ref").alias("ref"), freq("alt").alias("alt")))
+
+    def done(x: Column) -> Column:
+        b = x["b"]
+        return F.struct(
+            b["n"].alias("alleleCount"), b["ref"].alias("refAlleleCount"), b["alt"].alias("altAlleleCount"), b["missing"].alias("missingAlleleCount"), b["missing_gt"].alias("missingGenotypeCount"),
+            x["ref"].cast("float").alias("refAlleleFreq"), x["alt"].cast("float").alias("altAlleleFreq"), x["counts"].alias("genotypeCount"), F.transform_values(x["gfreq"], lambda k, v: v.cast("float")).alias("genotypeFreq"),
+            F.when(b["alt"] <= b["ref"], "alt").otherwise("ref").alias("mafAllele"), F.least(x["ref"], x["alt"]).cast("float").alias("maf"), x["rarest"]["k"].alias("mgfGenotype"), x["rarest"]["f"].cast("float").alias("mgf"),
+        )
 
-    return F.get(F.transform(F.array(clean), of), F.lit(0))
+    every = F.transform(gts, lambda g: F.coalesce(g, F.lit("./.")))
+    counts = once(once(every, lambda x: F.transform(F.array_distinct(x), lambda g: entry(x, g))), merged)
+    return once(once(once(counts, base), frequencies), done)
 
 
 STATS_TYPE = "struct<alleleCount:int,refAlleleCount:int,altAlleleCount:int,missingAlleleCount:int,missingGenotypeCount:int,refAlleleFreq:float,altAlleleFreq:float,genotypeCount:map<string,int>,genotypeFreq:map<string,float>,mafAllele:string,maf:float,mgfGenotype:string,mgf:float>"

@@ -310,3 +310,13 @@ def test_parts_are_dealt(spark, tmp_path):
     df = S.variants(spark, str(tmp_path))
     tasks = df.select("id", "biotype").groupBy(F.spark_partition_id()).agg(F.count("*"), F.count_distinct("id")).collect()
     assert len(tasks) > 8 and sum(t[1] for t in tasks) == sum(t[2] for t in tasks) == 150_000 and max(t[1] for t in tasks) < 20_000
+
+
+def test_statistics_by_distinct_genotype(spark, df):
+    """Texts are split in one place, once for each distinct genotype; equal ones are merged after they are cleaned."""
+    plan = stats.variant_stats(df).select(F.col("studies")[0]["stats"]["ALL"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and "flatten(" not in plan
+    row = spark.createDataFrame([(["0|1", "1/0", "1/2", "?/?", None, "./1", "1"],)], "g array<string>").select(stats.stats_struct(F.col("g")).alias("s")).first()["s"]
+    assert row["genotypeCount"] == {"./.": 2, "./1": 1, "0/1": 2, "1": 1, "1/2": 1} and row["missingGenotypeCount"] == 3
+    assert (row["alleleCount"], row["refAlleleCount"], row["altAlleleCount"], row["missingAlleleCount"]) == (8, 2, 5, 5)
+    assert row["mgfGenotype"] == "1" and row["mgf"] == 0.25 and row["mafAllele"] == "ref"
