@@ -205,18 +205,24 @@ def inbreeding(df: DataFrame, study: str = "", missing_as_hom_ref: bool = False,
     """
     chosen = metadata_of(df).first(study)
     here = G.study_of(F.col("studies"), chosen.id)
-    # one lambda variable: where the statistics are an expression still, it is computed once
-    maf = once(F.try_element_at(here["stats"], F.lit("ALL")), lambda s: F.least(s["refAlleleFreq"], s["altAlleleFreq"]).cast("double"))
     names = F.array(*map(F.lit, chosen.samples))
     by = [F.col("chromosome"), (F.floor(F.col("start") / step) * step).cast("int").alias("start")] if step > 0 else []
-    long = df.select(*by, maf.alias("maf"), F.posexplode(F.transform(here["samplesData"], lambda x: F.get(x, F.lit(0)))).alias("i", "gt")).where(F.col("maf") > maf_threshold)
-    gt = F.col("gt")
-    gt = F.when(G.is_missing(gt), F.lit("0/0") if missing_as_hom_ref else F.lit(None)).otherwise(gt)
-    long = long.withColumn("gt", gt).where(F.col("gt").isNotNull())
-    if not include_multi_allelic:
-        long = long.where(~G.multi_allelic(F.col("gt")))
+
+    def hom(gt: Column) -> Column:
+        """Whether a call is homozygous, null for what does not count; plain genotypes are settled before any text is split."""
+        call = F.when(gt.isin(*G.HOM_REF, *G.HOM_VAR), True).when(gt.isin(*G.HET), False).when(G.is_missing(gt), F.lit(True) if missing_as_hom_ref else F.lit(None))
+        return (call if include_multi_allelic else call.when(G.multi_allelic(gt), F.lit(None))).otherwise(G.is_hom(gt))
+
+    def calls(s: Column) -> Column:
+        maf = F.least(s["all"]["refAlleleFreq"], s["all"]["altAlleleFreq"]).cast("double")
+        of = lambda m: F.transform(s["data"], lambda x, i: F.struct(i.alias("i"), m.alias("maf"), hom(F.get(x, F.lit(0))).alias("hom")))
+        return once(maf, lambda m: F.when(m > maf_threshold, of(m)))
+
+    # all in one generator: a column of its own would be computed once more for each filter on it that moves below
+    seen = once(once(here, lambda h: F.struct(F.try_element_at(h["stats"], F.lit("ALL")).alias("all"), h["samplesData"].alias("data"))), calls)
+    long = df.select(*by, F.inline(seen)).where("hom IS NOT NULL")
     keys = ["chromosome", "start"] if step > 0 else []
-    sums = long.groupBy(*keys, F.get(names, F.col("i")).alias("SampleId")).agg(F.count_if(G.is_hom(F.col("gt"))).alias("ObservedHom"), F.sum(1 - 2 * F.col("maf") * (1 - F.col("maf"))).alias("ExpectedHom"), F.count("*").alias("GenotypesCount"))
+    sums = long.groupBy(*keys, F.get(names, F.col("i")).alias("SampleId")).agg(F.count_if("hom").alias("ObservedHom"), F.sum(1 - 2 * F.col("maf") * (1 - F.col("maf"))).alias("ExpectedHom"), F.count("*").alias("GenotypesCount"))
     f = F.try_divide(F.col("ObservedHom") - F.col("ExpectedHom"), F.col("GenotypesCount") - F.col("ExpectedHom"))
     return sums.select(*keys, "SampleId", f.alias("F"), "ObservedHom", "ExpectedHom", "GenotypesCount")
 

@@ -320,3 +320,9 @@ def test_statistics_by_distinct_genotype(spark, df):
     assert row["genotypeCount"] == {"./.": 2, "./1": 1, "0/1": 2, "1": 1, "1/2": 1} and row["missingGenotypeCount"] == 3
     assert (row["alleleCount"], row["refAlleleCount"], row["altAlleleCount"], row["missingAlleleCount"]) == (8, 2, 5, 5)
     assert row["mgfGenotype"] == "1" and row["mgf"] == 0.25 and row["mafAllele"] == "ref"
+
+
+def test_inbreeding_hands_on_calls_only(spark):
+    """What is dealt to samples is the allele frequency and the call, and a variant's statistics are computed once."""
+    plan = stats.inbreeding(stats.variant_stats(S.variants(spark, SF)), step=1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "project@set:one" not in plan[: plan.index("Generate inline")] and plan.count("sort_array(") == 1
