@@ -326,3 +326,13 @@ def test_inbreeding_hands_on_calls_only(spark):
     """What is dealt to samples is the allele frequency and the call, and a variant's statistics are computed once."""
     plan = stats.inbreeding(stats.variant_stats(S.variants(spark, SF)), step=1000)._jdf.queryExecution().optimizedPlan().toString()
     assert "project@set:one" not in plan[: plan.index("Generate inline")] and plan.count("sort_array(") == 1
+
+
+def test_chi_square_computes_each_step_once(spark, df):
+    """The table, the statistic and the error function come once for a variant, and small p-values keep their digits."""
+    from helixframe.functions import tests as T
+
+    plan = association.gwas(df, method=association.CHI_SQUARE, samples=(S.CASES, S.CONTROLS)).select("chiSquare", "pValue")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") == 1 and plan.count("aggregate(") == 2 and plan.count("IN (0/0,0|0)") == 2
+    for r in spark.range(121).select((F.col("id") / 10).alias("x")).select("x", T.erfc(F.col("x")).alias("y")).collect():
+        assert r["y"] == pytest.approx(math.erfc(r["x"]), rel=1e-12)
