@@ -336,3 +336,13 @@ def test_chi_square_computes_each_step_once(spark, df):
     assert plan.count("SQRT(") == 1 and plan.count("aggregate(") == 2 and plan.count("IN (0/0,0|0)") == 2
     for r in spark.range(121).select((F.col("id") / 10).alias("x")).select("x", T.erfc(F.col("x")).alias("y")).collect():
         assert r["y"] == pytest.approx(math.erfc(r["x"]), rel=1e-12)
+
+
+def test_log_factorials_are_looked_up(spark):
+    """No factorial or logarithm for the counts of a small study, the same values on both sides of the table's end."""
+    from helixframe.functions import tests as T
+
+    rows = spark.range(400).select(F.col("id").cast("int").alias("n"))
+    for r in rows.select("n", T.log_factorial(F.col("n")).alias("y")).collect():
+        assert r["y"] == pytest.approx(math.lgamma(r["n"] + 1), rel=1e-12, abs=1e-12)
+    assert "factorial(" not in rows.select(T.log_factorial(F.col("n")))._jdf.queryExecution().optimizedPlan().toString().lower()
